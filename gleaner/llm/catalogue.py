@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm.leakage import find_leaks
+from gleaner.llm.spans import shared_spans
 from gleaner.llm.tokens import encode_corpus
 from gleaner.session import table
 
@@ -17,5 +18,9 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans(table(spark, folder, "documents"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
