@@ -4,12 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.llm.canonical import link_copies, link_records
 from gleaner.llm.leakage import find_leaks
 from gleaner.llm.spans import shared_spans
+from gleaner.llm.survivors import best_fields, grouped, vote_records
 from gleaner.llm.tokens import encode_corpus
 from gleaner.session import table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return link_copies(table(spark, folder, "candidates"))
+
+
+def p3_records(spark: SparkSession, folder: str) -> DataFrame:
+    return link_records(table(spark, folder, "candidates"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return best_fields(grouped(table(spark, folder, "candidates"), table(spark, folder, "domain_patterns")))
+
+
+def p6_votes(spark: SparkSession, folder: str) -> DataFrame:
+    return vote_records(grouped(table(spark, folder, "candidates"), table(spark, folder, "domain_patterns")))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
@@ -22,5 +40,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans(table(spark, folder, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p3_records": p3_records, "p6_found": p6_found, "p6_votes": p6_votes, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
