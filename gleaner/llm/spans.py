@@ -8,8 +8,9 @@ whose grams share one minimum: the compact window of a node.  Equal windows
 have equal minima, so documents can only share windows in groups of equal
 minimum.  Such groups are counted, never listed: a group counts as soon as it
 has two different documents, whatever their number.  Within them a whole group
-of windows is settled by one hash where it stands elsewhere too; only the rest
-(the ends of shared passages) is settled window by window.
+of windows is settled by one hash where it stands elsewhere too.  The rest (the
+ends of shared passages) is grouped again by the minima of longer grams, settled
+the same way, and what is open then is compared window by window.
 
 All comparisons are joins and aggregations on hashes, with partial aggregation
 before each shuffle; no group is collected and no pair of documents is made, so
@@ -37,6 +38,8 @@ LENGTH = 400
 
 #: A gram is this part of the length: long enough not to be a stock phrase.
 GRAM = 4
+#: Where a group is still open, it is cut again by grams shorter than the length by this much.
+FINE = 31
 
 _B = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -79,13 +82,12 @@ class Hasher:
         return _mix((sums[end] - sums[begin]) * self.down[begin])
 
 
-def compact_windows(codes: np.ndarray, length: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(codes: np.ndarray, length: int, gram: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(minimum, first start, number of starts, prefix sums) of the groups of windows of ``length``.
 
     A group is a longest run of window starts with one minimum over their grams:
     the part of a Cartesian-tree node's compact window that has the full width.
     """
-    gram = length // GRAM
     sums = hasher.sums(codes)
     at = np.arange(len(codes) - gram + 1)
     low = hasher.of(sums, at, at + gram)
@@ -107,18 +109,30 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def window_groups(texts: DataFrame, length: int) -> DataFrame:
-    """(__doc, low, whole, begin, n): every compact window group, with a hash of all the text its windows cover."""
+def window_groups(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(__doc, low, whole, begin, n): compact window groups, with a hash of all the text a group's windows cover.
+
+    Where ``texts`` has a list ``__open`` of window ranges, only groups that touch one.
+    """
+    partly = "__open" in texts.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher(1)
         for pdf in batches:
             docs, parts = [], [[], [], [], []]
-            for doc, text in zip(pdf["__doc"], pdf["__text"], strict=True):
+            for k, (doc, text) in enumerate(zip(pdf["__doc"], pdf["__text"], strict=True)):
                 codes = _codes(text)
                 if len(codes) < length:
                     continue
-                low, begin, n, sums = compact_windows(codes, length, hasher)
+                low, begin, n, sums = compact_windows(codes, length, gram, hasher)
+                if partly:
+                    steps = np.zeros(len(codes) + 2, dtype=np.int64)
+                    for x in pdf["__open"].iloc[k]:
+                        steps[x["begin"]] += 1
+                        steps[x["begin"] + x["n"]] -= 1
+                    opened = np.concatenate([[0], np.cumsum(np.cumsum(steps) > 0)])
+                    keep = opened[begin + n] > opened[begin]
+                    low, begin, n = low[keep], begin[keep], n[keep]
                 whole = hasher.of(sums, begin, begin + n - 1 + length)
                 docs.append(np.full(len(low), doc, dtype=np.int64))
                 for part, x in zip(parts, (_signed(low), _signed(whole), begin, n), strict=True):
@@ -127,22 +141,23 @@ def window_groups(texts: DataFrame, length: int) -> DataFrame:
                 low, whole, begin, n = map(np.concatenate, parts)
                 yield pd.DataFrame({"__doc": np.concatenate(docs), "low": low, "whole": whole, "begin": begin.astype(np.int32), "n": n.astype(np.int32)})
 
-    return texts.mapInPandas(run, "__doc long, low long, whole long, begin int, n int")
+    return texts.select("__doc", "__text", *["__open"] * partly).mapInPandas(run, "__doc long, low long, whole long, begin int, n int")
 
 
-def single_windows(groups: DataFrame, length: int) -> DataFrame:
-    """(__doc, one, two, at): 128 bits of hash of every window of the groups (begin, n) listed per text."""
+def single_windows(texts: DataFrame, length: int) -> DataFrame:
+    """(__doc, one, two, at): 128 bits of hash of every window in the ranges listed per text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, two = Hasher(1), Hasher(0x51ED270B9F3C62A7)
         for pdf in batches:
             for doc, text, lists in zip(pdf["__doc"], pdf["__text"], pdf["__open"], strict=True):
                 codes = _codes(text)
-                at = np.concatenate([np.arange(x["begin"], x["begin"] + x["n"]) for x in lists])
+                at = np.unique(np.concatenate([np.arange(x["begin"], x["begin"] + x["n"]) for x in lists]))
+                at = at[at + length <= len(codes)]
                 a, b = one.of(one.sums(codes), at, at + length), two.of(two.sums(codes), at, at + length)
                 yield pd.DataFrame({"__doc": doc, "one": _signed(a), "two": _signed(b), "at": at.astype(np.int32)})
 
-    return groups.mapInPandas(run, "__doc long, one long, two long, at int")
+    return texts.select("__doc", "__text", "__open").mapInPandas(run, "__doc long, one long, two long, at int")
 
 
 def _elsewhere(rows: DataFrame, *keys: str) -> DataFrame:
@@ -150,11 +165,9 @@ def _elsewhere(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("__doc").alias("__a"), F.max("__doc").alias("__b")).where("__a <> __b")
 
 
-def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(key, shared_chars) of the documents with a span of ``length`` code points or more that another holds too."""
-    texts = documents.select(F.col(key).cast("long").alias("__doc"), F.col(text).alias("__text")).where("__doc is not null").where(F.length("__text") >= length)
-    groups = window_groups(texts, length)
-    # few groups stay: kept in the shared folder, as they are read three times
+def settle(groups: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(covered ranges of the groups that stand elsewhere as a whole, groups still open per document)."""
+    # few groups share their minimum: those are kept in the shared folder, as they are read several times
     live = checkpointed(groups.join(_elsewhere(groups, "low"), "low", "left_semi"))
     marked = live.join(_elsewhere(live, "low", "whole"), ["low", "whole"], "left")
     whole = marked.where("__a is not null").select("__doc", "begin", (F.col("begin") + F.col("n") - 1 + length).alias("end"))
@@ -162,9 +175,18 @@ def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text",
     unsettled = marked.where("__a is null")
     stand_in = marked.where("__doc in (__a, __b)").join(unsettled.select("low").distinct(), "low", "left_semi")
     rest = unsettled.unionByName(stand_in).groupBy("__doc").agg(F.collect_set(F.struct("begin", "n")).alias("__open"))
-    singles = checkpointed(single_windows(texts.join(rest, "__doc"), length))
+    return whole, rest
+
+
+def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """(key, shared_chars) of the documents with a span of ``length`` code points or more that another holds too."""
+    texts = documents.select(F.col(key).cast("long").alias("__doc"), F.col(text).alias("__text")).where("__doc is not null").where(F.length("__text") >= length)
+    wide, rest = settle(window_groups(texts, length, max(1, length // GRAM)), length)
+    held = checkpointed(texts.join(rest, "__doc"))  # the documents where some passage begins or ends
+    narrow, rest = settle(window_groups(held, length, max(1, length - FINE)), length)
+    singles = checkpointed(single_windows(held.drop("__open").join(rest, "__doc"), length))
     single = singles.join(_elsewhere(singles, "one", "two"), ["one", "two"], "left_semi").select("__doc", F.col("at").alias("begin"), (F.col("at") + length).alias("end"))
-    covered = whole.unionByName(single)
+    covered = wide.unionByName(narrow).unionByName(single)
     w = Window.partitionBy("__doc").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest(F.coalesce(F.max("end").over(w), F.lit(0)), F.col("begin")))
     out = covered.select("__doc", fresh.alias("__fresh")).groupBy("__doc").agg(F.sum("__fresh").cast("long").alias("shared_chars"))
