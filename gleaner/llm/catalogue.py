@@ -4,14 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.llm.boilerplate import fit, framed_contexts, main_bodies
 from gleaner.llm.canonical import link_copies, link_records
 from gleaner.llm.leakage import find_leaks
+from gleaner.llm.residue import is_residue, residue_pages
 from gleaner.llm.spans import shared_spans
 from gleaner.llm.survivors import best_fields, grouped, vote_records
 from gleaner.llm.tokens import encode_corpus
 from gleaner.session import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    bodies = main_bodies(pages, fit(pages), is_residue)
+    return bodies.unionByName(framed_contexts(table(spark, folder, "candidates")))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return residue_pages(pages, fit(pages))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return link_copies(table(spark, folder, "candidates"))
 
@@ -40,5 +53,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans(table(spark, folder, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_records": p3_records, "p6_found": p6_found, "p6_votes": p6_votes, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p3_found": p3_found, "p3_records": p3_records, "p6_found": p6_found, "p6_votes": p6_votes, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
