@@ -53,8 +53,8 @@ def facet_groups(links: DataFrame, page_url: str, order: str) -> DataFrame:
     minus = lambda a, b: F.filter(F.array_distinct(a), lambda x: count(a, x) > count(b, x))
     excess = lambda a, b: F.aggregate(F.transform(F.array_distinct(a), lambda x: F.greatest(count(a, x) - count(b, x), F.lit(0))), F.lit(0), lambda s, x: s + x)
     d = d.withColumns({"__added": minus(F.col("__own"), F.col("__base")), "__gone": minus(F.col("__base"), F.col("__own")), "__n": excess(F.col("__own"), F.col("__base")), "__m": excess(F.col("__base"), F.col("__own"))})
-    k = F.substring_index(F.col("__added")[0], "=", 1)
-    v = F.expr("substr(__added[0], instr(__added[0], '=') + 1)")
+    k = F.substring_index(F.get("__added", F.lit(0)), "=", 1)
+    v = F.expr("substr(get(__added, 0), instr(get(__added, 0), '=') + 1)")
     d = d.where("__n = 1 and __m <= 1").withColumns({"__k": k, "__v": v, "__g": F.substring_index(F.try_element_at("__gone", F.lit(1)), "=", 1)})
     d = d.where((F.col("__v") != "") & (F.col("__g").isNull() | (F.col("__g") == F.col("__k"))))
     d = d.where(~F.col("__k").rlike(urls.PAGING) & (F.col("__k").contains("[") | F.col("__k").rlike(urls.FACET)))

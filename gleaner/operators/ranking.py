@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import urls
 
 # Tiers of page kinds (others 2), bandit and stop parameters.
-TIERS = {"seed": 0, "document_listing": 1, "listing": 1, "fund_or_product": 1, "category": 2, "category_or_overview": 2, "other": 2, "news": 3, "news_or_article": 3, "company_or_legal": 3}
+TIERS = {"seed": 0, "document_listing": 1, "listing": 1, "fund_or_product": 1, "category": 2, "category_or_overview": 2, "other": 2, "news": 3, "legal": 3, "news_or_article": 3, "company_or_legal": 3}
 PRIOR_MEAN, PRIOR_PULLS, EXPLORE, NEW_GROUP_CREDIT, DRY_PAGES = 0.7, 1, 0.3, 0.5, 7
 STALE_STOP, STALE_SHARE = 12, 0.5
 
