@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -74,15 +75,15 @@ def replay(pages: DataFrame, policy: str, budget: int, explore: float = EXPLORE,
     so a step costs the number of groups, not of links.
     """
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def visit(queue) -> list[tuple[int, str, int]]:
         heaps: dict[tuple, dict[str, list]] = {}
-        for r in pdf.itertuples(index=False):
-            heapq.heappush(heaps.setdefault(tuple(r.outer), {}).setdefault(r.grp, []), (tuple(r.inner), r.url, int(r.accepted)))
+        for r in queue:
+            heapq.heappush(heaps.setdefault(tuple(r["outer"]), {}).setdefault(r["grp"], []), (tuple(r["inner"]), r["url"], int(r["accepted"])))
         stats: dict[str, list[float]] = {}
-        out, pulls, stale, rescued = [], 0, 0, False
+        out, pulls, stale, rescued = [], 0, 0, policy == "bandit"
         while heaps and len(out) < budget:
             groups = heaps[best := min(heaps)]
-            rescued = rescued or policy == "bandit" or (policy == "rescue" and stale >= dry)
+            rescued = rescued or (policy == "rescue" and stale >= dry)
 
             def worth(g: str) -> tuple:
                 n, reward = stats.get(g, (0, 0.0))
@@ -90,7 +91,7 @@ def replay(pages: DataFrame, policy: str, budget: int, explore: float = EXPLORE,
                 score = mean + explore * math.sqrt(math.log(pulls + 2) / (PRIOR_PULLS + n)) if rescued else 0.0
                 return score, [-x for x in groups[g][0][0]]
 
-            pick = max(groups, key=worth)
+            pick = max(sorted(groups), key=worth)
             _, url, accepted = heapq.heappop(groups[pick])
             if not groups[pick]:
                 del groups[pick]
@@ -98,10 +99,16 @@ def replay(pages: DataFrame, policy: str, budget: int, explore: float = EXPLORE,
                     del heaps[best]
             s = stats.setdefault(pick, [0, 0.0])
             s[0], s[1], pulls, stale = s[0] + 1, s[1] + math.log1p(accepted), pulls + 1, 0 if accepted else stale + 1
-            out.append((key[0], pulls, url, accepted))
-        return pd.DataFrame(out, columns=["crawl_id", "step", "url", "accepted"])
+            out.append((pulls, url, accepted))
+        return out
 
-    return pages.groupBy("crawl_id").applyInPandas(run, "crawl_id string, step int, url string, accepted int")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(crawl, *step) for crawl, queue in zip(pdf["crawl_id"], pdf["queue"], strict=True) for step in visit(queue)]
+            yield pd.DataFrame(rows, columns=["crawl_id", "step", "url", "accepted"])
+
+    queues = pages.groupBy("crawl_id").agg(F.collect_list(F.struct("url", "grp", "outer", "inner", "accepted")).alias("queue"))
+    return queues.mapInPandas(run, "crawl_id string, step int, url string, accepted int")
 
 
 def stale_runs(trace: DataFrame, scope: list[str], order: str, paid: Column) -> DataFrame:

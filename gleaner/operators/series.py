@@ -19,11 +19,8 @@ MAX_GROUP, MAX_GROUPS = 40, 25
 
 def with_series(docs: DataFrame, url: str = "url", name: str = "name") -> DataFrame:
     """``docs`` and their period, series, skeleton, order shape and order values."""
-    d = docs.withColumn("__id", periods.identity(F.col(url), F.col(name))).withColumn("__o", periods.order_of(F.col("__id")))
-    return d.withColumns(
-        {"period": periods.period_of(F.concat_ws(" ", name, url)), "series_key": periods.series_key(F.col("__id")), "skeleton": periods.skeleton(F.col("__id")),
-         "shape": F.array_join("__o.shape", ""), "order_values": F.col("__o.values")}
-    ).drop("__id", "__o")
+    d = periods.with_order(periods.with_keys(periods.with_identity(docs, url, name)))
+    return periods.with_period(d, F.concat_ws(" ", name, url)).drop("ident_text", "ident_ext")
 
 
 def mark_latest(docs: DataFrame, scope: list[str], published: str = "published") -> DataFrame:

@@ -34,8 +34,9 @@ def discover(pages: DataFrame, terms: Column, judge: Judge | None = None, latest
     docs = judged(docs, judge or rule_judge(terms))
     docs = with_series(docs).withColumn("published", periods.date_of(F.concat_ws(" ", "dated_by", "context")))
     docs = mark_latest(docs, ["crawl_id"])
+    docs = periods.with_year(docs, F.concat_ws(" ", "dated_by", "name", "context", "url"))
     docs = docs.withColumns({
-        "year": periods.year_of(F.concat_ws(" ", "dated_by", "name", "context", "url")), "series": F.col("series_key"), "latest_in_series": F.col("latest"),
+        "series": F.col("series_key"), "latest_in_series": F.col("latest"),
         "reason": F.lit(""), "source": F.lit("page"),
     })
     if not include_rejected:

@@ -82,14 +82,8 @@ _SCALARS: dict[str, tuple[Callable[[], Column], str | None]] = {
     "t9_weakly_named": (lambda: texts.is_weakly_named(F.regexp_replace("name", r"[^ -~\n\t]", "")), r"len([x for x in string_split_regex(regexp_replace(coalesce(name, ''), '[^ -~\n\t]', '', 'g'), '\s+') if x <> '']) < 4 AND NOT regexp_matches(regexp_replace(coalesce(name, ''), '[^ -~\n\t]', '', 'g'), '\d')"),
     "t17_verdict": (lambda: texts.verdict(F.col("relevance")), "CASE WHEN relevance IS NULL THEN 'unscored' WHEN relevance >= 0.75 THEN 'accepted' WHEN relevance < 0.4 THEN 'rejected' ELSE 'unsure' END"),
     "t28_chrome_path": (lambda: texts.is_chrome_path(F.col("section")), "regexp_matches(coalesce(section, ''), '(^|[/>])(nav|header|footer|aside)([./>]|$)')"),
-    "t1_period": (lambda: periods.period_of(F.concat_ws(" ", "name", "u")), None),
     "t2_date": (lambda: periods.date_of(F.concat_ws(" ", "dated", "context")), None),
-    "t3_year": (lambda: periods.year_of(F.concat_ws(" ", "dated", "name", "context", "u")), None),
     "t5_names_goal_year": (lambda: texts.names_goal_year(F.col("name"), F.col("u"), texts.goal_years(F.lit("reports 2020 to 2023"))), None),
-    "t12_identity": (lambda: periods.identity(F.col("u"), F.col("name"))["text"], None),
-    "t14_series_key": (lambda: periods.series_key(periods.identity(F.col("u"), F.col("name"))), None),
-    "t15_order_of": (lambda: F.to_json(periods.order_of(periods.identity(F.col("u"), F.col("name")))), None),
-    "t16_skeleton": (lambda: periods.skeleton(periods.identity(F.col("u"), F.col("name"))), None),
     "t10_link_state": (lambda: texts.link_state(F.col("cand_id").cast("string"), F.col("name"), F.col("u"), F.col("context"), F.col("section"), F.col("col_label")), None),
 }
 for _name, (_f, _sql) in _SCALARS.items():
@@ -102,6 +96,40 @@ for _name, (_f, _sql) in _SCALARS.items():
         SQL[_name] = f"SELECT cand_id, {_sql} AS value FROM {_B}"
 
 
+def _identified(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.with_identity(_candidates(spark, folder).select("cand_id", "u", "name"), "u", "name")
+
+
+@query()
+def t1_period(spark, folder):
+    return periods.with_period(_candidates(spark, folder), F.concat_ws(" ", "name", "u"), "value").select("cand_id", "value")
+
+
+@query()
+def t3_year(spark, folder):
+    return periods.with_year(_candidates(spark, folder), F.concat_ws(" ", "dated", "name", "context", "u"), "value").select("cand_id", "value")
+
+
+@query()
+def t12_identity(spark, folder):
+    return _identified(spark, folder).select("cand_id", F.col("ident_text").alias("value"), "ident_ext")
+
+
+@query()
+def t14_series_key(spark, folder):
+    return periods.with_keys(_identified(spark, folder)).select("cand_id", F.col("series_key").alias("value"))
+
+
+@query()
+def t15_order_of(spark, folder):
+    return periods.with_order(_identified(spark, folder)).select("cand_id", "shape", F.to_json("order_values").alias("value"))
+
+
+@query()
+def t16_skeleton(spark, folder):
+    return periods.with_keys(_identified(spark, folder)).select("cand_id", F.col("skeleton").alias("value"))
+
+
 @query()
 def t4_goal_years(spark, folder):
     return table(spark, folder, "domain_patterns").select("domain", texts.goal_years(F.col("last_goal")).alias("years"))
@@ -331,13 +359,13 @@ def _queue(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("crawl_id"), F.concat(F.lit("https://x.example/"), F.col("l_partkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string")).alias("url"),
         F.get(kind, (F.col("l_partkey") % 6).cast("int")).alias("kind"), (F.round(F.col("l_discount") * 1000) / 100).alias("probability"), (F.col("l_suppkey") % 4).cast("int").alias("depth"),
-        F.col("l_linenumber").alias("order"), (F.col("l_partkey") % 11 == 0).alias("other_language"), (F.col("l_partkey") % 13 == 0).alias("revealed"), (F.col("l_partkey") % 7 == 0).alias("goal_year"),
+        (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("order"), (F.col("l_partkey") % 11 == 0).alias("other_language"), (F.col("l_partkey") % 13 == 0).alias("revealed"), (F.col("l_partkey") % 7 == 0).alias("goal_year"),
         (F.col("l_partkey") % 5 == 0).alias("planned"), (F.col("l_returnflag") == "R").alias("chrome"), (F.col("l_linestatus") == "O").alias("path_seen"), F.col("l_quantity").alias("q"),
     )
 
 
 @query("""
-WITH q AS (SELECT l_orderkey::VARCHAR AS crawl_id, 'https://x.example/' || l_partkey || '/' || l_linenumber AS url, l_linenumber AS o, l_partkey % 6 AS k, round(l_discount * 1000) / 100 AS pr, l_suppkey % 4 AS depth, l_partkey AS p,
+WITH q AS (SELECT l_orderkey::VARCHAR AS crawl_id, 'https://x.example/' || l_partkey || '/' || l_linenumber AS url, l_linenumber * 1000000 + l_partkey AS o, l_partkey % 6 AS k, round(l_discount * 1000) / 100 AS pr, l_suppkey % 4 AS depth, l_partkey AS p,
   l_returnflag = 'R' AS chrome, l_linestatus = 'O' AS seen FROM lineitem),
 t AS (SELECT *, CASE WHEN k <= 1 THEN 1 WHEN k <= 3 THEN 2 ELSE 3 END AS t0 FROM q)
 SELECT crawl_id, url, row_number() OVER (PARTITION BY crawl_id ORDER BY (p % 11 = 0)::INT, CASE WHEN p % 13 = 0 OR (p % 7 = 0 AND t0 = 2) THEN 1 ELSE t0 END,
