@@ -205,7 +205,10 @@ class Field:
 
 def fit(pages: DataFrame, key: str = "page_id", text: str = "html", sample: int = SAMPLE) -> Field:
     """A model of at most ``sample`` pages, the same for the same pages (they are picked by the hash of their key)."""
-    some = pages.where(F.col(text).isNotNull()).select(text, F.xxhash64(key).alias("__h")).orderBy("__h", text).limit(sample)
+    keyed = pages.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text)
+    # the keys are picked without the texts; only the picked texts travel
+    picked = keyed.select(key, F.xxhash64(key).alias("__h")).distinct().orderBy("__h").limit(sample)
+    some = keyed.join(F.broadcast(picked), key).groupBy("__h").agg(F.min(text).alias(text)).orderBy("__h").select(text)
     known = [blocks(row[0]) for row in some.collect()]  # a bounded sample
     return Field.train([(features(p), teach(p)) for p in known])
 
