@@ -167,13 +167,13 @@ def with_norm(df: DataFrame, text: str, zone: str, order: str, intervals: DataFr
     d = d.withColumn("__s", F.regexp_replace("__s", r":\.(?=[+\-z]|$)|\.(?=[+\-z])", ""))
     d = d.withColumn("__t", F.when(F.col("__s").rlike(r"\d[:h]\d\d"), F.split(F.regexp_replace("__s", _TIME, "$1|$2|$3|$4|$5|$6|$7"), r"\|")))
     timed = F.size("__t") == 7
-    part = lambda i: F.element_at("__t", i)
+    part = lambda i: F.get("__t", F.lit(i - 1))
     d = d.withColumn("__d", F.when(timed, F.regexp_replace(part(1), "[, ]+$", "")).when(F.col("__t").isNull(), F.col("__s")))
     form = F.lit(None).cast("string")
     for pattern, to in reversed(_FORMS):
         form = F.when(F.col("__d").rlike(pattern), F.regexp_replace("__d", pattern, to)).otherwise(form)
     d = d.withColumn("__f", F.split(form, "-"))
-    f = lambda i: F.element_at("__f", i)
+    f = lambda i: F.get("__f", F.lit(i - 1))
     year = F.when(F.length(f(1)) == 2, F.concat(F.lit("20"), f(1))).otherwise(f(1))
     mon = F.coalesce(_int(f(2)), months[f(2)])
     ymd = lambda m, day: F.concat_ws("-", year, F.lpad(m.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
