@@ -158,6 +158,8 @@ class Field:
     def train(pages: list[tuple[list[list[str]], list[int]]], steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> Field:
         """Maximum likelihood with a small ridge, by Adam on the full sample; forward-backward runs over all pages at once."""
         pages = [p for p in pages if p[0]]
+        if not pages:
+            return Field({}, np.zeros(0), np.zeros((2, 2)))
         names: dict[str, int] = {}
         rows = [[names.setdefault(f, len(names)) for f in row] for page, _ in pages for row in page]
         wide, n = max(map(len, rows), default=1), len(rows)

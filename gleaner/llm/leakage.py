@@ -103,7 +103,7 @@ def align(passages: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
             far[:, reach:] = np.maximum(far[:, reach:], far[:, :-reach])
             reach *= 2
         rest = INSERT - reach
-        far[:, rest:] = np.maximum(far[:, rest:], far[:, : far.shape[1] - rest])
+        far[:, rest:] = np.maximum(far[:, rest:], far[:, : max(0, far.shape[1] - rest)])
         now[:, 1:] = np.maximum(now[:, 1:], now[:, :-1] - _UNIT)
         now[:, 1:] = np.maximum(now[:, 1:], far[:, :-1] - PRICE * _UNIT)
         now[now < _UNIT] = 0
