@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import periods, texts, urls
-from gleaner.operators import evaluation, judging, links, ranking, series, stores
+from gleaner.operators import evaluation, judging, links, ranking, series, stores, traces
 from gleaner.plans import discover as plan
 from gleaner.plans import programs
 from gleaner.session import table
@@ -542,6 +542,105 @@ def sc12_json_records(spark, folder):
     return r.select(F.substring_index("k", "|", 1).alias("program_key"), F.substring_index("k", "|", -1).cast("int").alias("snapshot_no"), "path", "name")
 
 
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events with a total order per user."""
+    return table(spark, folder, "events").withColumn("o", F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000)
+
+
+_E = "(SELECT *, epoch_us(ts) * 1000 + event_id % 1000 AS o FROM events)"
+
+
+@query(f"SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY o)::INT AS page_no FROM {_E}")
+def w9_page_numbers(spark, folder):
+    return traces.page_numbers(_events(spark, folder), ["user_id"], "o").select("event_id", "page_no")
+
+
+@query(f"SELECT event_id, back FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY o DESC)::INT AS back FROM {_E}) WHERE back <= 10")
+def w15_last_steps(spark, folder):
+    return traces.last_steps(_events(spark, folder), ["user_id"], "o").select("event_id", "back")
+
+
+@query("SELECT DISTINCT site, url FROM candidates c WHERE url IS NOT NULL AND source = 'agent' AND NOT EXISTS (SELECT 1 FROM candidates s WHERE s.site = c.site AND s.url = c.url AND s.source <> 'agent')")
+def j10_revealed_since(spark, folder):
+    c = table(spark, folder, "candidates").where("url is not null").select("site", "url", "source")
+    return traces.revealed_since(c.where("source = 'agent'"), c.where("source <> 'agent'"), ["site", "url"]).select("site", "url").distinct()
+
+
+@query("SELECT cand_id, CASE WHEN min(cand_id) OVER w < cand_id THEN min(cand_id) OVER w END AS same_as FROM candidates WINDOW w AS (PARTITION BY crawl_id, source, url)")
+def j17_repeated_calls(spark, folder):
+    return traces.repeated_calls(table(spark, folder, "candidates"), ["crawl_id"], ["source", "url"], "cand_id").select("cand_id", "same_as")
+
+
+@query(f"SELECT event_id, coalesce(event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1, false) AS stalled FROM {_E} WINDOW w AS (PARTITION BY user_id ORDER BY o)")
+def a18_stalled_runs(spark, folder):
+    return traces.stalled_runs(_events(spark, folder), ["user_id"], "o", ["event_type"]).select("event_id", "stalled")
+
+
+@query(f"SELECT event_id, arg_max(n, struct_pack(v := value, o := -n)) FILTER (event_type <> 'error') OVER (PARTITION BY user_id ORDER BY n)::INT AS best FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY o) AS n FROM {_E})")
+def a19_best_so_far(spark, folder):
+    d = traces.page_numbers(_events(spark, folder), ["user_id"], "o")
+    return traces.best_so_far(d, ["user_id"], "page_no", "value", F.col("event_type") == "error").select("event_id", "best")
+
+
+@query("SELECT site, min(verdict) FILTER (source = 'page') AS page, min(verdict) FILTER (source = 'api') AS api, min(verdict) FILTER (source = 'agent') AS agent FROM candidates GROUP BY 1")
+def a22_outcome_matrix(spark, folder):
+    return traces.outcome_matrix(table(spark, folder, "candidates"), "site", "source", "verdict", ["page", "api", "agent"])
+
+
+@query("SELECT program_key, count(*) AS requests, sum((meta->'usage'->>'prompt')::BIGINT)::BIGINT AS input_tokens, sum((meta->'usage'->>'completion')::BIGINT)::BIGINT AS output_tokens, round((sum((meta->'usage'->>'prompt')::BIGINT) * 3.0 + sum((meta->'usage'->>'completion')::BIGINT) * 15.0) / 1000000, 6)::DOUBLE AS cost FROM program_snapshots GROUP BY 1")
+def a14_usage(spark, folder):
+    get = lambda p: F.get_json_object("meta", f"$.usage.{p}").cast("long")
+    d = table(spark, folder, "program_snapshots").select("program_key", get("prompt").alias("input_tokens"), get("completion").alias("output_tokens"))
+    return traces.usage(d, ["program_key"], 3.0, 15.0)
+
+
+@query(f"""
+WITH g AS (SELECT site, {_NET} || regexp_replace({_PATH}, '(/[^/]*){{1,2}}$', '') AS grp, arg_min(u, cand_id) AS sample, min(cand_id) AS f, count(*) AS n FROM {_B} GROUP BY 1, 2)
+SELECT site, grp, sample, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY f)::INT AS rank FROM g) WHERE rank <= 8""")
+def a5_url_groups(spark, folder):
+    d = _candidates(spark, folder).select("site", "cand_id", F.col("u").alias("url"))
+    return traces.url_groups(d, ["site"], "cand_id")
+
+
+@query("SELECT cand_id FROM candidates WHERE period_label IS NULL OR left(period_label, 4) = '2024'")
+def fp11_goal_year_filter(spark, folder):
+    d = table(spark, folder, "candidates").withColumn("year", F.substring("period_label", 1, 4))
+    return traces.for_year(d, "year", "2024").select("cand_id")
+
+
+@query("SELECT cand_id FROM candidates WHERE verdict <> 'rejected'")
+def fp12_returned(spark, folder):
+    return table(spark, folder, "candidates").where("verdict <> 'rejected'").select("cand_id")
+
+
+@query("""
+SELECT l_orderkey::VARCHAR AS crawl_id, bool_or(l_partkey % 6 <= 1 AND l_quantity <= 25) AS untried_tier1, bool_or(l_partkey % 6 <= 1 AND l_partkey % 7 = 0) AS goal_year_page, bool_or(l_partkey % 6 = 0 AND l_returnflag = 'R') AS menu_listing FROM lineitem GROUP BY 1""")
+def w13_hold_open(spark, folder):
+    q = _queue(spark, folder).withColumn("tier", ranking.tier(F.col("kind"), F.lit(False), F.lit(False))).withColumn("picked", F.col("q") > 25)
+    return traces.hold_open(q, ["crawl_id"])
+
+
+@query("SELECT cand_id, CASE WHEN (SELECT count(*) FROM candidates) > 0 THEN relevance END AS relevance, ord FROM (SELECT cand_id, relevance, row_number() OVER (PARTITION BY crawl_id ORDER BY cand_id)::INT AS ord FROM candidates)")
+def j1_zip_answers(spark, folder):
+    c = traces.page_numbers(table(spark, folder, "candidates"), ["crawl_id"], "cand_id").withColumnRenamed("page_no", "ord")
+    return traces.zipped(c.select("crawl_id", "ord", "cand_id"), c.select("crawl_id", "ord", "relevance"), ["crawl_id"]).select("cand_id", "relevance", "ord")
+
+
+@query("SELECT user_id, event_id, stale >= 12 AND n / 40 >= 0.5 AS stop FROM (SELECT user_id, event_id, n, sum(1 - p) OVER (PARTITION BY user_id, g ORDER BY o) AS stale FROM (SELECT *, row_number() OVER w AS n, sum(p) OVER w AS g FROM (SELECT *, (event_type = 'purchase')::INT AS p FROM " + _E + ") WINDOW w AS (PARTITION BY user_id ORDER BY o)))")
+def fp19_no_progress(spark, folder):
+    d = traces.page_numbers(_events(spark, folder), ["user_id"], "o")
+    d = ranking.stale_runs(d, ["user_id"], "o", F.col("event_type") == "purchase")
+    return d.select("user_id", "event_id", ranking.should_stop(F.col("stale"), F.col("page_no"), F.lit(40), F.lit(0), F.lit(100)).alias("stop"))
+
+
+@query("""
+WITH l AS (SELECT DISTINCT site, url FROM candidates WHERE source = 'page' AND url IS NOT NULL), s AS (SELECT DISTINCT site, url FROM candidates WHERE source = 'sitemap' AND url IS NOT NULL)
+SELECT site, url FROM l INTERSECT SELECT site, url FROM s""")
+def s1_intersection(spark, folder):
+    c = table(spark, folder, "candidates").where("url is not null")
+    return c.where("source = 'page'").select("site", "url").intersect(c.where("source = 'sitemap'").select("site", "url"))
+
+
 _PROGRAM = '''
 import re
 def discover(fetch, render):
