@@ -36,6 +36,7 @@ _TEASER = frozenset(phrases.listed(phrases.TEASER))
 _SHARE = frozenset(phrases.listed(phrases.SHARE))
 _COOKIE = re.compile("|".join(map(re.escape, phrases.listed(phrases.COOKIE))))
 _FOOTER = re.compile("|".join(map(re.escape, phrases.listed(phrases.FOOTER))) + r"|^©")
+_NOTICE = re.compile(r"\W*(?:copyright|imprint|footer)\W*")  # also as an unfilled place
 _SECTION = re.compile(r"^(?:https?://[^/?#]+)?/[^/.?#]*/?$", re.I)
 _FRAMES = ("nav", "header", "footer", "aside")
 
@@ -53,7 +54,7 @@ def kind_of(text: str) -> str:
         return "trail"
     if _COOKIE.search(low):
         return "cookie"
-    if _FOOTER.search(low):
+    if _FOOTER.search(low) or _NOTICE.fullmatch(low):
         return "footer"
     return ""
 
