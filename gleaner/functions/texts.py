@@ -24,6 +24,8 @@ WORDS = {
     "es": "el los las del y todos todas para encuentra",
     "it": "il gli dei delle della tutti tutte per trova",
 }
+# White space and decimal digits of any script, as Python has them (Java lacks four separators, older Java the digits of three scripts).
+SPACE, DIGIT = r"(?U)[\s\x1c-\x1f]+", r"[\p{Nd}\x{11f50}-\x{11f59}\x{16ac0}-\x{16ac9}\x{1e4f0}-\x{1e4f9}]"
 # Content types of documents.
 DOCUMENT_TYPES = ("application/pdf", "application/msword", "application/vnd.", "application/zip", "application/octet-stream", "application/rtf", "text/csv")
 
@@ -42,8 +44,8 @@ def verdict(p: Column) -> Column:
 
 def is_weakly_named(name: Column) -> Column:
     n = F.coalesce(name, F.lit(""))
-    words = F.size(F.filter(F.split(n, r"\s+"), lambda w: w != ""))
-    return (words < 4) & ~n.rlike(r"\d")
+    words = F.size(F.filter(F.split(n, SPACE), lambda w: w != ""))
+    return (words < 4) & ~n.rlike(DIGIT)
 
 
 def link_state(ident: Column, name: Column, url: Column, context: Column, section: Column, column: Column, date: Column | None = None) -> Column:

@@ -79,7 +79,7 @@ _SCALARS: dict[str, tuple[Callable[[], Column], str | None]] = {
     ),
     "t7_clean_text": (lambda: texts.clean(F.col("context")), r"regexp_replace(context, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g')"),
     "t8_injection_flag": (lambda: texts.is_instruction(F.col("context")), f"regexp_matches(coalesce(context, ''), '{texts.INJECTION}')"),
-    "t9_weakly_named": (lambda: texts.is_weakly_named(F.regexp_replace("name", r"[^ -~\n\t]", "")), r"len([x for x in string_split_regex(regexp_replace(coalesce(name, ''), '[^ -~\n\t]', '', 'g'), '\s+') if x <> '']) < 4 AND NOT regexp_matches(regexp_replace(coalesce(name, ''), '[^ -~\n\t]', '', 'g'), '\d')"),
+    "t9_weakly_named": (lambda: texts.is_weakly_named(F.col("name")), r"len([x for x in string_split_regex(regexp_replace(coalesce(name, ''), '[^ -~\n\t]', '', 'g'), '\s+') if x <> '']) < 4 AND NOT regexp_matches(regexp_replace(coalesce(name, ''), '[^ -~\n\t]', '', 'g'), '\d')"),
     "t17_verdict": (lambda: texts.verdict(F.col("relevance")), "CASE WHEN relevance IS NULL THEN 'unscored' WHEN relevance >= 0.75 THEN 'accepted' WHEN relevance < 0.4 THEN 'rejected' ELSE 'unsure' END"),
     "t28_chrome_path": (lambda: texts.is_chrome_path(F.col("section")), "regexp_matches(coalesce(section, ''), '(^|[/>])(nav|header|footer|aside)([./>]|$)')"),
     "t2_date": (lambda: periods.date_of(F.concat_ws(" ", "dated", "context")), None),

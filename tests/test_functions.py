@@ -1,6 +1,9 @@
+import re
+
 from pyspark.sql import functions as F
 
 from gleaner.functions import periods, texts, urls
+from gleaner.plans import queries
 
 
 def values(spark, expr, data, kind="string"):
@@ -43,3 +46,13 @@ def test_texts(spark):
     assert values(spark, texts.goal_years, ["2020 bis 2022 und 1999"]) == [["1999", "2020", "2021", "2022"]]
     assert values(spark, texts.disposition_name, ['attachment; filename="a b.pdf"', "inline; filename*=UTF-8''%C3%A9.pdf", None]) == ["a b.pdf", "é.pdf", None]
     assert values(spark, texts.json_object, ['```json\n{"a":1}\n```', 'so: {"b": 2} ok', "no", None]) == ['{"a":1}', '{"b":2}', None, None]
+
+
+def test_weakly_named_reads_the_raw_name(spark, tmp_path):
+    names = ["Wenra: Tender notice, ２０２２", "Lettre à tous", "Un mot à deux", "Jelentés ٣", "a\u00a0b\u2003c\u3000d", "a\x1cb\x1fc\x85d", "– – – –", "Éves", "", None]
+    spark.createDataFrame([(i, "https://s/", n) for i, n in enumerate(names)], "cand_id long, url string, name string").write.parquet(str(tmp_path / "candidates.parquet"))
+    got = {r["cand_id"]: r["value"] for r in queries.QUERIES["t9_weakly_named"](spark, str(tmp_path)).collect()}
+    assert got == {i: len((n or "").split()) < 4 and not re.search(r"\d", n or "") for i, n in enumerate(names)}
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    d = spark.createDataFrame([(c, f"a{c}b{c}c{c}d") for c in every], "c string, name string").select("c", texts.is_weakly_named(F.col("name")).alias("weak"))
+    assert {r["c"] for r in d.where("not weak").collect()} == {c for c in every if c.isspace() or re.match(r"\d", c)}
