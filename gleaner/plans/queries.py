@@ -33,8 +33,12 @@ def query(sql: str | None = None):
     return add
 
 
+def _rows(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "candidates").withColumn("u", F.regexp_replace("url", r"\s+", ""))
+
+
 def _candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "candidates").where("url is not null").withColumn("u", F.regexp_replace("url", r"\s+", ""))
+    return _rows(spark, folder).where("url is not null")
 
 
 _B = r"(SELECT *, regexp_replace(url, '\s+', '', 'g') AS u FROM candidates WHERE url IS NOT NULL) b"
@@ -86,10 +90,12 @@ _SCALARS: dict[str, tuple[Callable[[], Column], str | None]] = {
     "t5_names_goal_year": (lambda: texts.names_goal_year(F.col("name"), F.col("u"), texts.goal_years(F.lit("reports 2020 to 2023"))), None),
     "t10_link_state": (lambda: texts.link_state(F.col("cand_id").cast("string"), F.col("name"), F.col("u"), F.col("context"), F.col("section"), F.col("col_label")), None),
 }
+# Those that take no url: they have a value for candidates without one, too.
+_NO_URL = {"t2_date", "t7_clean_text", "t8_injection_flag", "t9_weakly_named", "t17_verdict", "t28_chrome_path", "u21_start_url", "u23_pattern_domain"}
 for _name, (_f, _sql) in _SCALARS.items():
 
-    def _scalar(spark: SparkSession, folder: str, f=_f) -> DataFrame:
-        return _candidates(spark, folder).select("cand_id", f().alias("value"))
+    def _scalar(spark: SparkSession, folder: str, f=_f, read=_rows if _name in _NO_URL else _candidates) -> DataFrame:
+        return read(spark, folder).select("cand_id", f().alias("value"))
 
     QUERIES[_name] = _scalar
     if _sql:
@@ -107,7 +113,7 @@ def t1_period(spark, folder):
 
 @query()
 def t3_year(spark, folder):
-    return periods.with_year(_candidates(spark, folder), F.concat_ws(" ", "dated", "name", "context", "u"), "value").select("cand_id", "value")
+    return periods.with_year(_rows(spark, folder), F.concat_ws(" ", "dated", "name", "context", "u"), "value").select("cand_id", "value")
 
 
 @query()

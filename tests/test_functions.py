@@ -56,3 +56,12 @@ def test_weakly_named_reads_the_raw_name(spark, tmp_path):
     every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
     d = spark.createDataFrame([(c, f"a{c}b{c}c{c}d") for c in every], "c string, name string").select("c", texts.is_weakly_named(F.col("name")).alias("weak"))
     assert {r["c"] for r in d.where("not weak").collect()} == {c for c in every if c.isspace() or re.match(r"\d", c)}
+
+
+def test_queries_without_url_keep_candidates_without_url(spark, tmp_path):
+    row = "cand_id long, site string, url string, name string, context string, section string, dated string, relevance double"
+    spark.createDataFrame([(1, "a.example", None, "Report", "read 3 May 2024", "body>nav>a", "2024-05-03", 0.8)], row).write.parquet(str(tmp_path / "candidates.parquet"))
+    want = {"t7_clean_text": "read 3 May 2024", "t8_injection_flag": False, "t9_weakly_named": True, "t17_verdict": "accepted", "t28_chrome_path": True, "u21_start_url": "https://www.a.example/", "u23_pattern_domain": "a.example"}
+    got = {n: [r["value"] for r in queries.QUERIES[n](spark, str(tmp_path)).collect()] for n in [*want, "t2_date", "t3_year", "u11_domain"]}
+    assert got.pop("u11_domain") == [] and all(v != [None] and len(v) == 1 for v in (got.pop("t2_date"), got.pop("t3_year")))
+    assert got == {n: [v] for n, v in want.items()}
