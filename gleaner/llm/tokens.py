@@ -3,10 +3,11 @@
 Texts are cut where a rolling hash of the last 16 bytes hits.  A chunk that
 comes again in the batch, in whatever document, is encoded once; the pieces of
 new chunks are kept by the worker and encoded once as long as it lives.  A cut
-stands only where encoding its two sides apart gives exactly the ids of
+stands as it is where encoding its two sides apart gives exactly the ids of
 encoding them together: between a visible character and white space, or where
 letters, digits and punctuation meet, a token always ends.  Elsewhere the join
-is repaired: both sides are taken together until their ends agree with that.
+is repaired: what stands between the last such place before the cut and the
+first after it is taken out of both chunks and encoded as one.
 
 Everything is one narrow pass: no shuffle, no state shared between tasks.  The
 reuse is per Python worker, as sending chunks to a common owner and their ids
@@ -87,6 +88,18 @@ def hash_hits(data: np.ndarray) -> np.ndarray:
     return hits
 
 
+def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where chunks begin and end: at the texts' ends and at every hit, or on both sides of the join that a hit needs."""
+    ends = np.zeros(len(data) + 1, dtype=bool)
+    ends[:-1] = token_ends(data)
+    ends[offsets] = True
+    places, hits = np.flatnonzero(ends), np.flatnonzero(hash_hits(data))
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[offsets] = True
+    edge[places[np.searchsorted(places, hits)]] = edge[places[np.searchsorted(places, hits, "right") - 1]] = True
+    return np.flatnonzero(edge)
+
+
 def _slices(data: np.ndarray, bounds: np.ndarray) -> pa.DictionaryArray:
     """The distinct byte strings between ``bounds``, and which one each is."""
     array_ = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
@@ -114,15 +127,12 @@ def encode_buffer(encoder: Encoder, data: np.ndarray, offsets: np.ndarray) -> tu
     """The ids of the texts data[offsets[i]:offsets[i+1]] one after another, and how many each has."""
     if not len(data):
         return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
-    edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[:-1] = hash_hits(data) & token_ends(data)  # a hit without agreement is repaired: both sides stay together
-    edge[offsets] = True
-    bounds = np.flatnonzero(edge)
-    chunk_data, chunk_bounds, chunk_of = _parts(_slices(data, bounds))
+    bounds = chunk_bounds(data, offsets)
+    chunk_data, own_bounds, chunk_of = _parts(_slices(data, bounds))
 
     edge = np.zeros(len(chunk_data) + 1, dtype=bool)
     edge[:-1] = token_ends(chunk_data)
-    edge[chunk_bounds] = True
+    edge[own_bounds] = True
     piece_bounds = np.flatnonzero(edge)
     distinct = _slices(chunk_data, piece_bounds)
     if len(encoder) > KEEP_PIECES:
@@ -133,7 +143,7 @@ def encode_buffer(encoder: Encoder, data: np.ndarray, offsets: np.ndarray) -> tu
 
     values, n = _gather(values, np.cumsum(sizes) - sizes, sizes, distinct.indices.to_numpy())
     total = np.concatenate([[0], np.cumsum(n)])
-    starts = total[np.searchsorted(piece_bounds, chunk_bounds)]
+    starts = total[np.searchsorted(piece_bounds, own_bounds)]
     values, n = _gather(values, starts[:-1], np.diff(starts), chunk_of)
     total = np.concatenate([[0], np.cumsum(n)])
     return values, np.diff(total[np.searchsorted(bounds, offsets)])

@@ -140,6 +140,21 @@ def test_pieces_are_encoded_once():
     assert len(e) <= n + 2
 
 
+@RANKS
+def test_every_hit_cuts_and_joins_are_repaired():
+    rnd = random.Random(3)
+    text = " ".join("".join(rnd.choice("éőűáñ中") for _ in range(rnd.randint(1, 9))) + rnd.choice(["", ",", "7x"]) for _ in range(6000)).encode()
+    data, offsets = np.frombuffer(text + text, dtype=np.uint8), np.array([0, len(text), 2 * len(text)])
+    hits, ends, bounds = np.flatnonzero(tokens.hash_hits(data)), np.flatnonzero(tokens.token_ends(data)), tokens.chunk_bounds(data, offsets).tolist()
+    assert sum(h not in set(ends) for h in hits) > 50
+    for h in hits.tolist():  # a cut there, or the nearest sure places around as the ends of the join
+        assert h in bounds or {max(e for e in [0, *offsets, *ends] if e < h), min(e for e in [*offsets, *ends] if e > h)} <= set(bounds)
+    e = tokens.Encoder()
+    ids, sizes = tokens.encode_buffer(e, data, offsets)
+    want = e.bpe.encode_ordinary(text.decode())
+    assert ids.tolist() == want * 2 and sizes.tolist() == [len(want)] * 2
+
+
 # --- leaks ---------------------------------------------------------------------------------------
 
 
