@@ -1,21 +1,23 @@
 """Find held-out passages that stand, wholly or partly, in corpus documents.
 
 Each batch of documents is a shard.  Its words become ids of the passages'
-vocabulary, and the positions that can begin a match are kept as a suffix array
-ordered by their first words.  Every suffix of every passage is binary-searched
-in it and each hit lengthened to its longest verbatim match.  Where the matches
-of one passage lie close together and are long enough, an exact local alignment
-of passage and neighbourhood decides: it counts the passage's words found in
-order, pays for changed, missing and added words, and takes one put-in sentence
-at a fixed price.
+vocabulary; pairs of adjacent words that stand in some passage are looked up in
+the passages' sorted pairs, and for every document and passage the passage's
+pairs that the document has are counted.  An alignment of score s has at most
+one break for each word of its price, so at least s - 1 of its matched words
+follow the one before on both sides: who has fewer common pairs than the least
+score asks for cannot be a leak.  For all others an exact local alignment of
+passage and document decides: it counts the passage's words found in order,
+pays for changed, missing and added words, and takes a put-in sentence at a
+fixed price.  Long documents are aligned in overlapping stretches, wide enough
+for the widest place that an alignment can have.
 
 The passages are the small side (held-out sets do not grow with the corpus);
 they are sent to the executors in blocks of a fixed number, each checked against
 all documents, so the bound holds for any number of passages.
 
 Defined results: null, empty and wordless texts, on either side, match nothing;
-a passage too short for the shortest seed is reported where it stands whole
-only if it has at least ``SEED`` words; repeated rows give one pair; ties of
+fewer than ``SEED`` words, in a passage or found of it, are no leak; repeated rows give one pair; ties of
 alignments do not matter, as only the best score counts.
 """
 
@@ -29,16 +31,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Words of the shortest verbatim match that is looked at.
+#: Fewest words of a passage that is looked for, and of it that must be found.
 SEED = 4
 #: Share of the passage's words that must stand in order, and least alignment score as a share of them.
 SHARE, SCORE = 0.5, 0.4
-#: To be aligned, a neighbourhood needs a verbatim run this long and runs covering this share.
-RUN, COVER = 6, 0.35
 #: Words of a put-in sentence, and its price in words.
 INSERT, PRICE = 45, 2
-#: Words of a place looked at beyond where its matches put the passage.
-SLACK = 5
+#: Entries of the lists of common pairs, and of their counts, held at once.
+ENTRIES = 1 << 21
 #: Passages sent to the executors at once.
 BLOCK = 20_000
 
@@ -64,27 +64,25 @@ class Passages:
         self.ids: dict[str, int] = {}
         texts = [np.array([self.ids.setdefault(x, len(self.ids)) for x in w], dtype=np.int64) for _, w in kept]
         self.base = len(self.ids) + 2
+        self.texts = texts
         self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1
-        # all passages in one row, -2 between them, so that no match runs on
-        self.row = np.concatenate([np.append(t, -2) for t in texts]) if texts else np.zeros(0, np.int64)
-        at = np.concatenate([s + np.arange(n - SEED + 1) for s, n in zip(self.starts, self.sizes, strict=True)]) if texts else np.zeros(0, np.int64)
-        self.owner = np.repeat(np.arange(len(texts)), np.maximum(self.sizes - SEED + 1, 0))
-        self.seeds = self.pack(self.row, at)
-        order = np.argsort(self.seeds, kind="stable")
-        self.at, self.owner, self.seeds = at[order], self.owner[order], self.seeds[order]
-        self.unique = np.unique(self.seeds)
-
-    def pack(self, row: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The first SEED words of each suffix as one number, mixed where the vocabulary is large."""
-        key = np.zeros(len(at), dtype=np.uint64)
-        for k in range(SEED):
-            key = key * np.uint64(0x9E3779B97F4A7C15 if self.base**SEED >= 1 << 63 else self.base) + (row[at + k] + 1).astype(np.uint64)
-        return key
-
-
-def align(passages: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
-    """The best local alignment of each passage with its place, as score * _UNIT + matched words."""
+        # all passages in one row, -2 between them; for each distinct pair its passages
+        row = np.concatenate([np.append(t, -2) for t in texts]) if texts else np.zeros(0, np.int64)
+        key, at = self.pairs(row)
+        owner = np.repeat(np.arange(len(texts)), self.sizes + 1)[at]
+        order = np.argsort(key, kind="stable")
+        self.owner = owner[order]
+        self.unique, self.lists = np.unique(key[order], return_index=True)
+        self.lists = np.append(self.lists, len(order))
+
+    def pairs(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of adjacent known words as numbers, and where they stand."""
+        at = np.flatnonzero((row[:-1] >= 0) & (row[1:] >= 0))
+        return row[at] * self.base + row[at + 1], at
+
+
+def align(passages: list[np.ndarray], places: list[np.ndarray], least: np.ndarray | None = None) -> np.ndarray:
+    """The best local alignment of each passage with its place, of those with ``least`` matched words, as score * _UNIT + matched words."""
     height, width = max(map(len, passages)), max(map(len, places))
     a = np.full((len(passages), height), -3, dtype=np.int32)
     w = np.full((len(places), width), -4, dtype=np.int32)
@@ -108,95 +106,90 @@ def align(passages: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
         now[:, 1:] = np.maximum(now[:, 1:], far[:, :-1] - PRICE * _UNIT)
         now[now < _UNIT] = 0
         cells = now
-        np.maximum(best, now.max(axis=1), out=best)
+        good = now if least is None else np.where(now % _UNIT >= least[:, None], now, 0)
+        np.maximum(best, good.max(axis=1), out=best)
     return best
 
 
+def best_scores(passages: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
+    """The score alone of ``align``'s best alignments, in a fraction of the time."""
+    height, width = max(map(len, passages)), max(map(len, places))
+    kind = np.int16 if height < 30_000 else np.int32
+    a = np.full((len(passages), height), -3, dtype=np.int32)
+    w = np.full((len(places), width), -4, dtype=np.int32)
+    for i, (x, y) in enumerate(zip(passages, places, strict=True)):
+        a[i, : len(x)], w[i, : len(y)] = x, y
+    cells, now = np.zeros((2, len(a), width + 1), dtype=kind)
+    far, best = np.zeros_like(cells), np.zeros_like(cells)
+    for k in range(height):
+        np.subtract(cells[:, :-1], kind(1), out=now[:, 1:])
+        now[:, 1:] += (w == a[:, k : k + 1]) * kind(2)
+        np.maximum(now, cells - kind(1), out=now)
+        np.maximum(now, 0, out=now)
+        now[:, 0] = 0
+        far[:] = now
+        reach = 1
+        while reach * 2 <= INSERT:
+            far[:, reach:] = np.maximum(far[:, reach:], far[:, :-reach])
+            reach *= 2
+        rest = INSERT - reach
+        far[:, rest:] = np.maximum(far[:, rest:], far[:, : max(0, far.shape[1] - rest)])
+        now[:, 1:] = np.maximum(now[:, 1:], now[:, :-1] - kind(1))
+        now[:, 1:] = np.maximum(now[:, 1:], far[:, :-1] - kind(PRICE))
+        np.maximum(best, now, out=best)
+        cells, now = now, cells
+    return best.max(axis=1)
+
+
 def search_shard(p: Passages, texts: list[str | None]) -> list[tuple[int, int]]:
     """(index of text, index of passage) of every leak in the shard."""
-    get = p.ids.get
-    lists = [[get(w, -1) for w in words(t)] for t in texts]
-    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)) + 1
-    row = np.full(int(sizes.sum()) + SEED, -1, dtype=np.int64)
-    begin = np.cumsum(sizes) - sizes
-    for b, x in zip(begin.tolist(), lists, strict=True):
-        row[b : b + len(x)] = x
-    known = row >= 0
-    can = known[: len(row) - SEED + 1].copy()
-    for k in range(1, SEED):
-        can &= known[k : len(row) - SEED + 1 + k]
-    at = np.flatnonzero(can)
-    if not len(at) or not len(p.at):
+    if not len(p.unique):
         return []
-    key = p.pack(row, at)
-    near = np.searchsorted(p.unique, key)
-    keep = p.unique[np.minimum(near, len(p.unique) - 1)] == key
-    at, key = at[keep], key[keep]
-    order = np.argsort(key, kind="stable")
-    at, key = at[order], key[order]  # the shard's suffix array
-    # every passage suffix: its range in the array
-    lo, hi = np.searchsorted(key, p.seeds, "left"), np.searchsorted(key, p.seeds, "right")
-    pairs: list[np.ndarray] = []
+    get = p.ids.get
+    # an alignment loses at most 1 - SCORE of its passage, and for two words lost may take a put-in sentence
+    wide = int(p.sizes.max() * (1 + (1 - SCORE) * max(1, INSERT / PRICE))) + 1
+    parts: list[np.ndarray] = []
+    source: list[int] = []
+    for t, text in enumerate(texts):
+        x = np.array([get(w, -1) for w in words(text)], dtype=np.int64)
+        for b in range(0, max(1, len(x) - wide), wide):
+            parts.append(x[b : b + 2 * wide])
+            source.append(t)
+    sizes = np.array([len(x) + 1 for x in parts], dtype=np.int64)
+    row = np.concatenate([np.append(x, -1) for x in parts]) if parts else np.zeros(0, np.int64)
+    key, at = p.pairs(row)
+    which = np.searchsorted(p.unique, key)
+    keep = p.unique[np.minimum(which, len(p.unique) - 1)] == key
+    # each distinct pair of each part once
+    own = np.unique(np.repeat(np.arange(len(parts)), sizes)[at[keep]] * len(p.unique) + which[keep])
+    part, which = own // len(p.unique), own % len(p.unique)
+    count = p.lists[which + 1] - p.lists[which]
+    total = np.concatenate([[0], np.cumsum(count)])
+    first = np.searchsorted(part, np.arange(len(parts) + 1))  # where the pairs of each part begin
+    tasks: list[tuple[int, int]] = []
+    begin, most = 0, max(1, ENTRIES // len(p.sizes))
+    while begin < len(parts):  # some parts at once, so that common pairs do not fill the memory
+        end = min(begin + most, max(begin + 1, int(np.searchsorted(total[first], total[first[begin]] + ENTRIES, "right")) - 1), len(parts))
+        lo, hi = first[begin], first[end]
+        n = count[lo:hi]
+        owner = p.owner[np.repeat(p.lists[which[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        common = np.bincount(np.repeat(part[lo:hi] - begin, n) * len(p.sizes) + owner, minlength=(end - begin) * len(p.sizes)).reshape(end - begin, -1)
+        tasks += [(begin + int(i), int(o)) for i, o in np.argwhere((common > 0) & (common + 1 >= SCORE * p.sizes))]
+        begin = end
+    tasks.sort(key=lambda x: sizes[x[0]])
     found: set[tuple[int, int]] = set()
-    step, count = 0, hi - lo
-    total = np.cumsum(count)
-    while step < len(count):  # in portions, so that common phrases do not fill the memory
-        end = max(step + 1, int(np.searchsorted(total, (total[step - 1] if step else 0) + 2_000_000)))
-        n = count[step:end]
-        which = np.repeat(np.arange(step, end), n)
-        q, d = p.at[which], at[np.repeat(lo[step:end] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        # only matches that cannot be lengthened to the left
-        fresh = (q == 0) | (d == 0) | (p.row[q - 1] != row[d - 1]) | (p.row[q - 1] < 0)
-        which, q, d = which[fresh], q[fresh], d[fresh]
-        length = np.zeros(len(q), dtype=np.int64)
-        live = np.arange(len(q))
-        k = 0
-        while len(live):
-            qq, dd = q[live] + k, d[live] + k
-            same = (qq < len(p.row)) & (dd < len(row))
-            same[same] = (p.row[qq[same]] == row[dd[same]]) & (p.row[qq[same]] >= 0)
-            live = live[same]
-            length[live] += 1
-            k += 1
-        good = length >= SEED
-        pairs.append(np.stack([which[good], d[good], length[good]]))
-        step = end
-    which, place, length = np.concatenate(pairs, axis=1)
-    if not len(which):
-        return []
-    owner, q = p.owner[which], p.at[which] - p.starts[p.owner[which]]
-    text = np.searchsorted(begin, place, "right") - 1
-    # matches of one passage whose passage would begin close together in one text
-    lead = place - begin[text] - q
-    need = p.sizes[owner]
-    wide = int(p.sizes.max()) + INSERT
-    jobs: dict[tuple[int, int, int, int], None] = {}
-    for shift in (wide, 2 * wide):
-        slot = (lead + shift) // (2 * wide)
-        order = np.lexsort((q, slot, owner, text))
-        t, o, s = text[order], owner[order], slot[order]
-        new = np.concatenate([[True], (t[1:] != t[:-1]) | (o[1:] != o[:-1]) | (s[1:] != s[:-1])])
-        first, group = np.flatnonzero(new), np.cumsum(new) - 1
-        # words of the passage under any of its matches
-        end = q[order] + length[order] + group * (4 * wide)
-        before = np.concatenate([[0], np.maximum.accumulate(end)[:-1]])
-        fresh = end - np.maximum(before, q[order] + group * (4 * wide))
-        covered, longest = np.add.reduceat(np.maximum(fresh, 0), first), np.maximum.reduceat(length[order], first)
-        size = need[order][first]
-        low, high = np.minimum.reduceat(lead[order], first), np.maximum.reduceat(lead[order], first) + size
-        ok = (covered >= COVER * size) & ((longest >= RUN) | (longest >= SHARE * size))
-        for i in first[ok].tolist():
-            g = group[i]
-            jobs[int(t[i]), int(o[i]), max(0, int(low[g]) - SLACK), min(int(high[g]) + SLACK, int(sizes[t[i]]) - 1)] = None
-    tasks = sorted(jobs, key=lambda j: j[3] - j[2])
-    for k in range(0, len(tasks), 128):
-        part = tasks[k : k + 128]
-        lines = [p.row[p.starts[o] : p.starts[o] + p.sizes[o]] for _, o, _, _ in part]
-        best = align(lines, [row[begin[t] + low : begin[t] + high] for t, _, low, high in part])
-        for (t, o, _, _), v in zip(part, best.tolist(), strict=True):
-            score, hits = divmod(v, _UNIT)
-            if hits >= SHARE * p.sizes[o] and score >= SCORE * p.sizes[o]:
-                found.add((t, o))
+    k = 0
+    while k < len(tasks):
+        some = tasks[k : k + 128]
+        some = some[: max(1, ENTRIES // int(sizes[some[-1][0]]))]
+        k += len(some)
+        scores = best_scores([p.texts[o] for _, o in some], [parts[i] for i, _ in some])
+        some = [x for x, v in zip(some, scores.tolist(), strict=True) if v >= SCORE * p.sizes[x[1]]]
+        if not some:
+            continue
+        need = np.array([max(SEED, SHARE * p.sizes[o]) for _, o in some])
+        best = align([p.texts[o] for _, o in some], [parts[i] for i, _ in some], need)
+        found |= {(source[i], o) for (i, o), v in zip(some, best.tolist(), strict=True) if v and v // _UNIT >= SCORE * p.sizes[o]}
     return sorted(found)
 
 

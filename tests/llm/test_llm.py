@@ -181,6 +181,35 @@ def test_alignment_counts_matches():
     assert (score, hits) == (8, 9)
 
 
+def test_gate_lets_through_what_the_alignment_accepts():
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    item, noise = [word() for _ in range(40)], [word() for _ in range(9000)]
+    sixth = [w if i % 6 else "other" for i, w in enumerate(item)]
+    added = [x for i, w in enumerate(item) for x in ([w, "more"] if i % 2 else [w])]  # runs of two words
+    far = [*item[:20], *noise[:45], *item[20:]]
+    docs = [noise[:50] + sixth + noise[50:60], added, noise[:7000] + far + noise[7000:], noise, item[:19], item[::2]]
+    p = leakage.Passages([(7, " ".join(item)), (8, "no such words here")])
+    assert leakage.search_shard(p, [" ".join(d) for d in docs]) == [(0, 0), (1, 0), (2, 0)]
+
+
+def test_gate_equals_aligning_everything():
+    rnd = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(12)]
+    items = [[rnd.choice(vocabulary) for _ in range(rnd.randint(4, 20))] for _ in range(40)]
+    docs = [[rnd.choice(vocabulary) for _ in range(rnd.randint(0, 60))] for _ in range(60)]
+    p = leakage.Passages([(i, " ".join(x)) for i, x in enumerate(items)])
+    want = []
+    for t, d in enumerate(docs):
+        for o, x in enumerate(p.texts):
+            need = max(leakage.SEED, leakage.SHARE * len(x))
+            place = np.array([p.ids[w] for w in d] + [-1])
+            best = leakage.align([x], [place], np.array([need]))[0]
+            assert leakage.best_scores([x], [place])[0] == leakage.align([x], [place])[0] // leakage._UNIT
+            want += [(t, o)] if best and best // leakage._UNIT >= leakage.SCORE * len(x) else []
+    assert 0 < len(want) < 2400 and leakage.search_shard(p, [" ".join(d) for d in docs]) == want
+
+
 # --- spans ---------------------------------------------------------------------------------------
 
 
