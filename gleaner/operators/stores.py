@@ -19,7 +19,7 @@ def merge_patterns(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     fresh = F.filter(F.coalesce("n.gate_sequences", F.slice("o.gate_sequences", 1, 0)), lambda g: ~F.array_contains(seen, g["description"]))
     gates = F.slice(F.concat(F.coalesce("o.gate_sequences", F.slice("n.gate_sequences", 1, 0)), fresh), 1, MAX_GATES)
     kept = F.map_filter("o.memory_snapshot", lambda k, v: ~F.coalesce(F.map_contains_key("n.memory_snapshot", k), F.lit(False)))
-    memory = F.when(F.col("o.domain").isNull(), F.col("n.memory_snapshot")).when(F.col("n.domain").isNull(), F.col("o.memory_snapshot")).otherwise(F.map_concat(kept, F.col("n.memory_snapshot")))
+    memory = F.when(F.col("o.memory_snapshot").isNull(), F.col("n.memory_snapshot")).when(F.col("n.memory_snapshot").isNull(), F.col("o.memory_snapshot")).otherwise(F.map_concat(kept, F.col("n.memory_snapshot")))
     touched = F.col("n.domain").isNotNull()
     return o.join(n, F.col("o.domain") == F.col("n.domain"), "full").select(
         F.coalesce("o.domain", "n.domain").alias("domain"), F.when(touched, now).otherwise(F.col("o.updated_at")).alias("updated_at"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import periods, texts, urls
@@ -481,10 +481,36 @@ def st6_holdback(spark, folder):
     return d.select("event_id", F.coalesce(gap >= stores.HOLD_BACK_HOURS * 3_600_000_000, F.lit(True)).alias("allowed"))
 
 
+def _learned(spark: SparkSession, folder: str) -> DataFrame:
+    """What the crawls in ``candidates`` teach of each host and of the site it belongs to, in the form of ``domain_patterns``.
+
+    Preferred are the first one and two path segments of accepted links, the most frequent first, skipped those of rejected
+    links only; gates are those the store has of the domain, passed again, and the sections an agent's accepted links stood in.
+    """
+    known = table(spark, folder, "domain_patterns")
+    host = urls.domain(F.col("u"))
+    c = _candidates(spark, folder).where("verdict in ('accepted', 'rejected')")
+    c = c.select(F.explode(F.array_distinct(F.array(host, urls.site_of(urls.host(F.col("u")))))).alias("domain"), urls.path(F.col("u")).alias("path"), "verdict", "source", "section", "found_at").where("domain <> ''")
+    prefix = F.explode(F.array_distinct(F.array(*[F.regexp_extract("path", p, 1) for p in ("^(/[^/]+)/", "^(/[^/]+/[^/]+)/")])))
+    good = F.count_if(F.col("verdict") == "accepted")
+    each = c.select("domain", "verdict", prefix.alias("prefix")).where("prefix <> ''").groupBy("domain", "prefix").agg(good.alias("good"), F.count("*").alias("n"))
+    top = F.row_number().over(Window.partitionBy("domain", F.col("good") > 0).orderBy(F.desc("good"), F.desc("n"), "prefix"))
+    each = each.withColumn("rank", top).where(F.col("rank") <= stores.MAX_PATTERNS)
+    lists = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("rank", "prefix")))), lambda x: x["prefix"])
+    paths = each.groupBy("domain").agg(lists(F.col("good") > 0).alias("url_patterns_prefer"), lists(F.col("good") == 0).alias("url_patterns_skip"))
+    opened = c.where("verdict = 'accepted' and source = 'agent' and section <> ''").groupBy("domain", "section").agg(F.min("found_at").alias("at"))
+    opened = opened.withColumn("rank", F.row_number().over(Window.partitionBy("domain").orderBy("at", "section"))).where(F.col("rank") <= stores.MAX_GATES)
+    step = F.struct(F.lit("click").alias("tool"), F.col("section").alias("hint"), F.lit("").alias("value"))
+    gate = F.struct("rank", F.col("section").alias("description"), F.array(step).alias("steps"))
+    gates = opened.groupBy("domain").agg(F.transform(F.array_sort(F.collect_list(gate)), lambda g: F.struct(g["description"].alias("description"), g["steps"].alias("steps"))).alias("opened"))
+    both = F.concat(F.coalesce("gate_sequences", F.slice("opened", 1, 0), F.array().cast(known.schema["gate_sequences"].dataType)), F.coalesce("opened", F.slice("gate_sequences", 1, 0), F.array().cast(known.schema["gate_sequences"].dataType)))
+    learned = paths.join(gates, "domain", "left").join(known.select("domain", "gate_sequences"), "domain", "left").withColumn("gate_sequences", both).drop("opened")
+    return known.limit(0).unionByName(learned, allowMissingColumns=True)
+
+
 @query()
 def a16_pattern_merge(spark, folder):
-    old = table(spark, folder, "domain_patterns")
-    return stores.merge_patterns(old, old.withColumn("last_goal", F.lit("")), F.lit("2027-01-01").cast("timestamp"))
+    return stores.merge_patterns(table(spark, folder, "domain_patterns"), _learned(spark, folder), F.lit("2027-01-01").cast("timestamp"))
 
 
 @query("""

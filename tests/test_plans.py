@@ -3,6 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from gleaner.operators import traces
+from gleaner.plans import queries
 from gleaner.plans.discover import discover
 from gleaner.sources import sinks
 
@@ -51,3 +52,18 @@ def test_traces(spark):
     assert sorted(r["url"] for r in traces.take_revealed(links, "listing", known).collect()) == ["https://s/l?page=2", "https://s/new", "https://s/old"]
     calls = spark.createDataFrame([(datetime(2026, 1, 1), "https://www.api.s/x", "application/json", "POST", "c")], "at timestamp, url string, content_type string, method string, crawl_id string")
     assert sorted((r["kind"], r["value"]) for r in traces.learned_hosts(calls, ["crawl_id"]).collect()) == [("host", "api.s"), ("post", "api.s/x")]
+
+
+def test_pattern_merge_brings_new_patterns_gates_and_domains(spark, tmp_path):
+    gate = "array<struct<description:string,steps:array<struct<tool:string,hint:string,value:string>>>>"
+    schema = f"domain string, updated_at timestamp, successful_crawl_count int, last_goal string, url_patterns_prefer array<string>, url_patterns_skip array<string>, gate_sequences {gate}, memory_snapshot map<string,string>, navigation_hints string, challenge_seen timestamp, challenge_passed_with string"
+    g = [(x, [("click", x, None)]) for x in ("terms", "country", "type")]
+    spark.createDataFrame([("docs.s.example", None, 3, "g", ["/old", "/b"], [], g, {"time_zone": "UTC"}, "hint", None, None)], schema).write.parquet(str(tmp_path / "domain_patterns.parquet"))
+    at = datetime(2026, 1, 1)
+    rows = [("https://docs.s.example/b/c/x.pdf", "accepted", "page", "", at)] * 2 + [(f"https://docs.s.example/p{i:02}/x.pdf", "accepted", "agent", f"S{i % 4}", at) for i in range(30)] + [("https://docs.s.example/no/x.pdf", "rejected", "page", "", at)]
+    spark.createDataFrame(rows, "url string, verdict string, source string, section string, found_at timestamp").write.parquet(str(tmp_path / "candidates.parquet"))
+    r = {x["domain"]: x for x in queries.QUERIES["a16_pattern_merge"](spark, str(tmp_path)).collect()}
+    known, new = r["docs.s.example"], r["s.example"]
+    assert known["url_patterns_prefer"] == ["/old", "/b", "/b/c", *[f"/p{i:02}" for i in range(17)]] and known["url_patterns_skip"] == ["/no"]
+    assert [x["description"] for x in known["gate_sequences"]] == ["terms", "country", "type", "S0", "S1"] and known["memory_snapshot"] == {"time_zone": "UTC"}
+    assert new["url_patterns_prefer"][:2] == ["/b", "/b/c"] and len(new["url_patterns_prefer"]) == 20 and new["successful_crawl_count"] == 1
