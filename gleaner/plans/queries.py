@@ -676,18 +676,27 @@ def s1_intersection(spark, folder):
 _PROGRAM = '''
 import re
 def discover(fetch, render):
-    page = fetch(START)
-    return [{"url": u, "name": u.rsplit("/", 1)[-1]} for u in re.findall(r'href="([^"]+)"', page) if ".pdf" in u]
+    links = re.findall(r'href="([^"]+)"', fetch(START))
+    for u in list(links):
+        links += re.findall(r'href="([^"]+)"', fetch(u))
+    return [{"url": u, "name": u.rsplit("/", 1)[-1]} for u in dict.fromkeys(links) if ".pdf" in u]
 '''
 
 
 @query()
 def x1_program_udtf(spark, folder):
-    pages = table(spark, folder, "pages").select("page_id", "site", "url", "html")
-    one = pages.groupBy("site").agg(F.min_by("url", "page_id").alias("start"))
-    code = F.concat(F.lit("START = '"), F.col("start"), F.lit("'\n"), F.lit(_PROGRAM))
-    saved = one.select("site", urls.program_key(F.col("start"), F.lit("reports")).alias("program_key"), code.alias("code"))
-    return programs.run_programs(saved, pages).select("program_key", "url", "name", F.col("error").isNotNull().alias("failed"))
+    # a program for every recorded page; a task gets about 32 of a site, the last recording of their pages and of those they link, and no others
+    pages = table(spark, folder, "pages").where("url is not null").groupBy("site", "url").agg(F.max_by(F.struct("html", F.col("page_links.url").alias("to")), "page_id").alias("p"))
+    parts = pages.groupBy("site").agg(F.ceil(F.count("*") / 32).alias("parts"))
+    part = F.concat_ws("#", "site", F.pmod(F.xxhash64("url"), "parts").cast("string"))
+    start = pages.join(parts, "site").select("site", F.col("url").alias("start"), "p.to", part.alias("part"))
+    reach = start.select("site", "part", F.explode(F.array_union(F.array("start"), F.coalesce("to", F.array().cast("array<string>")))).alias("url")).distinct()
+    held = reach.join(pages.select("site", "url", "p.html"), ["site", "url"]).select(F.col("part").alias("site"), "url", "html")
+    key = urls.program_key(F.col("start"), F.concat(F.lit("reports of "), "start"))
+    quoted = F.replace(F.replace(F.col("start"), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    code = F.concat(F.lit("START = '"), quoted, F.lit("'\n"), F.lit(_PROGRAM))
+    saved = start.select(F.col("part").alias("site"), key.alias("program_key"), code.alias("code"))
+    return programs.run_programs(saved, held).select("program_key", "url", "name", F.col("error").isNotNull().alias("failed"))
 
 
 @query()

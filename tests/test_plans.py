@@ -67,3 +67,15 @@ def test_pattern_merge_brings_new_patterns_gates_and_domains(spark, tmp_path):
     assert known["url_patterns_prefer"] == ["/old", "/b", "/b/c", *[f"/p{i:02}" for i in range(17)]] and known["url_patterns_skip"] == ["/no"]
     assert [x["description"] for x in known["gate_sequences"]] == ["terms", "country", "type", "S0", "S1"] and known["memory_snapshot"] == {"time_zone": "UTC"}
     assert new["url_patterns_prefer"][:2] == ["/b", "/b/c"] and len(new["url_patterns_prefer"]) == 20 and new["successful_crawl_count"] == 1
+
+
+def test_programs_cover_every_page_and_follow_links(spark, rows, tmp_path):
+    link = lambda *to: "".join(f'<a href="{u}">x</a>' for u in to)
+    pages = [(1, "s", "https://s/a", link("https://s/b", "https://s/1.pdf"), ["https://s/b", "https://s/1.pdf"]), (2, "s", "https://s/b", "old", []), (3, "s", "https://s/b", link("https://s/2.pdf"), ["https://s/2.pdf"]), (4, "s", "https://s/o'c", link("https://s/3.pdf"), None), (5, "t", "https://t/", None, [])]
+    d = spark.createDataFrame([(i, s, u, h, None if to is None else [(x,) for x in to]) for i, s, u, h, to in pages], "page_id long, site string, url string, html string, page_links array<struct<url:string>>")
+    d.write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.QUERIES["x1_program_udtf"](spark, str(tmp_path)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["program_key"], []).append(r["url"])
+    assert sorted(map(str, by.values())) == sorted(map(str, [["https://s/1.pdf", "https://s/2.pdf"], ["https://s/2.pdf"], ["https://s/3.pdf"], [None]]))
