@@ -1,246 +1,314 @@
 """Main bodies of pages, by a linear-chain conditional random field over leaf blocks.
 
-The model labels every block of a page as body or frame, from features of the
-block's text, links, ancestors and place, and from the label before; it is
-trained on labelled pages and decoded by Viterbi.  Training pages are a bounded
-sample (:data:`SAMPLE`) of the pages given, labelled by :func:`teach`, rules for
-the parts of a page that can be told for certain.  Decoding is one narrow pass
-over all pages.
-
-Defined results: null, empty and blockless pages have no body; a block or link
-that stands several times in a body is given once; a url that stands in body
-and frame is of the body; pages stored again under another id are pages of
-their own; long pages are used whole; without pages there is no model and no row.
+The model labels every block of a page as body or frame and decodes the page by
+Viterbi.  Its features are ancestor tags, links, shape, words and place of the
+block, of its neighbours, and on how many pages of its site the same block
+stands (:func:`repeated_blocks`, counted over all pages).  It is trained on a
+bounded sample of pages (:data:`SAMPLE`), labelled where :func:`teach` is
+certain; blocks without a certain label are summed over in training.  The words
+that speak for a frame are learned, not listed.
+
+Everything after training is narrow: the blocks that repeat on a site are few
+(their number is at most the mean number of blocks a page divided by
+:data:`REPEATED`), so each page gets its site's as one short list.
+
+Defined results: null, empty and blockless pages have no body; a page has a body
+as soon as it has a block; a block or link that stands several times in a body
+is given once; a url that stands in body and frame is of the body; pages stored
+again under another id are pages of their own; a null site is a site of its own;
+long pages are used whole; without pages there is no model and no row.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import phrases
+from gleaner.llm.crf import Field
 from gleaner.llm.pages import Block, blocks
 
 #: Pages the model is trained on, at most.
 SAMPLE = 600
-STEPS, RATE, DECAY = 150, 0.3, 1e-5
+#: A block repeats where it stands on this share of its site's pages, and on three at least.
+REPEATED, LEAST = 0.05, 3
+#: A word is a feature from so many blocks of the sample on.
+WORD_BLOCKS = 4
 
-_MENU = frozenset(phrases.listed(phrases.MENU))
-_TEASER = frozenset(phrases.listed(phrases.TEASER))
-_SHARE = frozenset(phrases.listed(phrases.SHARE))
+_SHARE = re.compile(r"\b(?:" + "|".join(map(re.escape, phrases.listed(phrases.SHARE))) + ")")
 _COOKIE = re.compile("|".join(map(re.escape, phrases.listed(phrases.COOKIE))))
-_FOOTER = re.compile("|".join(map(re.escape, phrases.listed(phrases.FOOTER))) + r"|^©")
-_NOTICE = re.compile(r"\W*(?:copyright|imprint|footer)\W*")  # also as an unfilled place
-_SECTION = re.compile(r"^(?:https?://[^/?#]+)?/[^/.?#]*/?$", re.I)
+_FOOTER = re.compile("|".join(map(re.escape, phrases.listed(phrases.FOOTER))))
+_SHALLOW = re.compile(r"^(?:https?://[^/?#]+)?/?[^/.?#]*/?(?:#.*)?$", re.I)
+_FILE = re.compile(r"\.[a-z0-9]{2,5}(?:[?#]|$)", re.I)
+_STEP = re.compile(r"[›»>/|·]")
 _FRAMES = ("nav", "header", "footer", "aside")
+_PARTS = ("nav", "header", "footer", "aside", "main", "article", "table", "form")
+_WORD = re.compile(r"\w+|[^\w\s]")
+_HEADS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
 
 
-def kind_of(text: str) -> str:
-    """What a block's text is by its words: '', or a part of the frame."""
-    low = text.casefold()
-    if low.rstrip(".:…") in _SHARE:
-        return "share"
-    if low in _TEASER:
-        return "teaser"
-    if low in _MENU:
-        return "menu"
-    if "›" in low and len(low) < 250:
-        return "trail"
-    if _COOKIE.search(low):
-        return "cookie"
-    if _FOOTER.search(low) or _NOTICE.fullmatch(low):
-        return "footer"
-    return ""
-
-
-def _sections(b: Block) -> bool:
-    return bool(b.hrefs) and b.linked >= 0.8 * len(b.text) and all(map(_SECTION.match, b.hrefs))
-
-
-def scopes(page: list[Block], kinds: list[str]) -> list[bool]:
-    """Whether each block follows a small heading (h4-h6) inside the element that holds it, up to a part of the frame."""
-    out, scope = [], None
-    for b, kind in zip(page, kinds, strict=True):
-        if scope is not None and (scope not in (b.holder, b.parent) or kind not in ("", "teaser") or _sections(b)):
+def block_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _repeats(b: Block, common: frozenset[int]) -> bool:
+    return bool(common) and len(b.text) >= 4 and block_hash(b.text) in common
+
+
+def teach(page: list[Block], common: frozenset[int] = frozenset()) -> list[int | None]:
+    """Labels of a training page where they are certain: 1 body, 0 frame, None unknown.
+
+    Frame: parts that say so by their tag, buttons and what is said just before them, menus of section links, trails,
+    stock phrases, blocks that repeat on the site outside tables, teasers under a small heading, and what stands before a
+    first-level heading.  Body: from the main heading, or where there is none from the first sentence or file, to the next
+    block of the frame.
+    """
+    main = next((i for t in ("h1", "h2") for i, b in enumerate(page) if b.tags[-1] == t), None)
+    before = main if main is not None and page[main].tags[-1] == "h1" else 0
+    frame: list[bool] = []
+    scope = None
+    for i, b in enumerate(page):
+        tag, low = b.tags[-1], b.text.casefold()
+        words = low.count(" ") + 1
+        whole = bool(b.hrefs) and b.linked >= 0.8 * len(b.text)
+        menu = whole and all(map(_SHALLOW.match, b.hrefs))
+        trail = bool(b.hrefs) and len(b.text) < 300 and bool(_STEP.search(b.text)) and all(map(_SHALLOW.match, b.hrefs))
+        said = words <= 5 and bool(_SHARE.search(low)) and not any(map(_FILE.search, b.hrefs)) or words <= 20 and bool(_FOOTER.search(low))
+        again = tag not in ("td", "th", "dt", "dd", "h1") and _repeats(b, common)
+        asked = i + 1 < len(page) and page[i + 1].tags[-1] == "button" and page[i + 1].holder == b.holder
+        if scope is not None and (scope not in (b.holder, b.parent) or menu):
             scope = None
-        if b.tags[-1] in ("h4", "h5", "h6"):
+        if _HEADS.get(tag, 0) >= 4:
             scope = b.holder
-        out.append(scope is not None)
+        named = any(t in b.tags for t in _FRAMES) or tag in ("button", "label")
+        frame.append(named or menu or trail or said or again or asked or scope is not None or i < before)
+    out: list[int | None] = [0 if f else None for f in frame]
+    if main is None:
+        told = (i for i, b in enumerate(page) if not frame[i] and (b.text.count(" ") >= 11 and b.text[-1] in ".!?" or any(map(_FILE.search, b.hrefs))))
+        main = next(told, len(page))
+    for i in range(main, len(page)):
+        if frame[i] and i > main:
+            break
+        if i == main or len(page[i].text) > 300 or not _COOKIE.search(page[i].text.casefold()):
+            out[i] = 1
     return out
 
 
-def teach(page: list[Block]) -> list[int]:
-    """Labels of a training page: 1 body, 0 frame."""
-    kinds = [kind_of(b.text) for b in page]
-    return [
-        0 if kind not in ("", "menu") or small or b.tags[-1] in ("button", "label") or _sections(b) or any(t in b.tags for t in _FRAMES) else 1
-        for b, kind, small in zip(page, kinds, scopes(page, kinds), strict=True)
-    ]
+def _own(b: Block, common: frozenset[int]) -> tuple:
+    tags, text = b.tags, b.text
+    words = text.count(" ") + 1
+    if b.hrefs:
+        share = b.linked / max(1, len(text))
+        link = "all" if share >= 0.8 else "most" if share >= 0.4 else "some"
+        shallow = sum(1 for h in b.hrefs if _SHALLOW.match(h))
+        href = "top" if shallow == len(b.hrefs) else "file" if not shallow and all(_FILE.search(h) for h in b.hrefs) else "mixed" if shallow else "deep"
+        many = min(len(b.hrefs), 3)
+    else:
+        link, href, many = "no", "no", 0
+    size = 1 if words == 1 else 2 if words == 2 else 3 if words < 6 else 6 if words < 12 else 12 if words < 24 else 24
+    last = text[-1]
+    end = "." if last in ".!?…" else ":" if last == ":" else "a" if last.isalpha() else "0" if last.isdigit() else "-"
+    step = "step" if b.hrefs and _STEP.search(text) else ""
+    digit = any(c.isdigit() for c in text)
+    return (tags[-1], tags[-2] if len(tags) > 1 else "#", tags[-3] if len(tags) > 2 else "#", link, href, many, size, end, step, digit, _repeats(b, common), tuple(p for p in _PARTS if p in tags))
+
+
+def _spell(own: tuple) -> list[str]:
+    """Names of the features of a block alone."""
+    tag, above, over, link, href, many, size, end, step, digit, again, parts = own
+    out = ["bias", f"tag={tag}", f"above={above}", f"over={over}", f"link={link}", f"href={href}", f"many={many}", f"size={size}", f"end={end}", f"digit={digit}", f"again={again}"]
+    out += [f"tag,link,href={tag},{link},{href}", f"tag,above={tag},{above}", f"tag,size={tag},{size}", f"again,tag={again},{tag}", f"size,end={size},{end}", f"above,tag,href={above},{tag},{href}"]
+    out += [f"in={p}" for p in parts]
+    if step:
+        out.append(f"step,{link}")
+    return out
 
 
-def features(page: list[Block]) -> list[list[str]]:
-    """Names of the features that hold for each block."""
-    kinds = [kind_of(b.text) for b in page]
-    small = scopes(page, kinds)
-    out: list[list[str]] = []
-    headed = False
+def _near(own: tuple, side: str) -> list[str]:
+    tag, _, _, link, href, _, size, _, _, _, again, _ = own
+    return [f"{side}:tag={tag}", f"{side}:link,href={link},{href}", f"{side}:again={again}", f"{side}:size={size}"]
+
+
+def _place(i: int, page: list[Block], level: int, held: bool, headed: bool, own: tuple) -> tuple:
+    b = page[i]
+    beside = "parent" if i and page[i - 1].parent == b.parent else "holder" if i and page[i - 1].holder == b.holder else "far"
+    edge = "alone" if len(page) == 1 else "first" if i == 0 else "last" if i == len(page) - 1 else ""
+    return (level, held, headed, beside, edge, own[0], own[1], own[3], own[4])
+
+
+def _spell_place(place: tuple) -> list[str]:
+    level, held, headed, beside, edge, tag, above, link, href = place
+    out = [f"level={level}", f"headed={headed}", f"beside={beside}", f"level,held={level},{held}", f"level,held,tag={level},{held},{tag}", f"level,above,tag={level},{above},{tag}"]
+    out += [f"headed,tag={headed},{tag}", f"headed,link,href={headed},{link},{href}", f"level,link,href={level},{link},{href}"]
+    if edge:
+        out.append(f"edge={edge}")
+    return out
+
+
+def _words(text: str) -> set[str]:
+    return {w if not w.isdigit() else "#" for w in _WORD.findall(text.casefold())}
+
+
+def _signatures(page: list[Block], common: frozenset[int]) -> list[tuple[tuple, tuple | None, tuple | None, tuple, str]]:
+    """What the features of each block are spelled from: itself, the one before, the one after, its place, its text."""
+    owns = [_own(b, common) for b in page]
+    out = []
+    level, holder, headed = 0, None, False
     for i, b in enumerate(page):
-        tag, above = b.tags[-1], b.tags[-2] if len(b.tags) > 1 else "#"
-        words = b.text.count(" ") + 1
-        link = "whole" if b.hrefs and b.linked >= 0.8 * len(b.text) else "part" if b.hrefs else "no"
-        sections = _sections(b)
-        f = ["bias", f"tag={tag}", f"above={above}", f"link={link}", f"words={min(words, 3) if words < 4 else 4 if words < 8 else 8 if words < 16 else 16}"]
-        f += [f"in={t}" for t in ("nav", "header", "footer", "aside", "main", "article", "table", "ul", "dl") if t in b.tags]
-        if kinds[i]:
-            f.append(f"kind={kinds[i]}")
-        elif not sections and not small[i] and tag not in ("button", "label") and not any(t in b.tags for t in _FRAMES):
-            f += ["plain", f"plain,{link}", f"plain,{tag}"]
-        if sections:
-            f += ["sections", f"sections,{tag}"]
-        elif b.hrefs:
-            f.append(f"document,{tag},{'ul' if above in ('ul', 'ol') else 'tr' if above == 'tr' else '-'}")
-        if small[i]:
-            f += ["small", f"small,{tag}"]
-        if tag in ("h1", "h2"):
-            headed = True
-        f.append(f"headed={headed}")
-        if b.text[-1] in ".!?":
-            f.append("sentence")
-        if any(c.isdigit() for c in b.text):
-            f.append("digit")
-        if i and page[i - 1].parent == b.parent:
-            f.append("with_last")
-        elif i and page[i - 1].holder == b.holder:
-            f.append("beside_last")
-        if i + 1 < len(page):
-            f.append(f"next={kinds[i + 1] or '-'}")
-        if i == 0 or i == len(page) - 1:
-            f.append("edge" if len(page) > 1 else "alone")
-        out.append(f)
+        if (n := _HEADS.get(b.tags[-1], 0)) > 0:
+            level, holder = n, b.holder
+            headed = headed or n <= 2
+        held = holder is None or holder in (b.holder, b.parent)
+        out.append((owns[i], owns[i - 1] if i else None, owns[i + 1] if i + 1 < len(page) else None, _place(i, page, level, held, headed, owns[i]), b.text))
     return out
 
 
-class Field:
-    """A linear-chain CRF with labels frame (0) and body (1)."""
-
-    def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray):
-        self.names, self.weights, self.moves = names, weights, moves
-
-    def scores(self, rows: list[list[str]]) -> list[float]:
-        """How much better each block fits the body."""
-        get, w = self.names.get, self.weights
-        return [float(sum(w[k] for name in row if (k := get(name)) is not None)) for row in rows]
-
-    def decode(self, rows: list[list[str]]) -> list[int]:
-        """The best labels, by Viterbi."""
-        if not rows:
-            return []
-        (m00, m01), (m10, m11) = self.moves.tolist()
-        s = self.scores(rows)
-        frame, body, back = 0.0, s[0], []
-        for x in s[1:]:
-            a, b = frame + m00 >= body + m10, frame + m01 >= body + m11
-            frame, body = (frame + m00 if a else body + m10), (frame + m01 if b else body + m11) + x
-            back.append((0 if a else 1, 0 if b else 1))
-        label = int(body > frame)
-        out = [label]
-        for step in reversed(back):
-            label = step[label]
-            out.append(label)
-        return out[::-1]
-
-    @staticmethod
-    def train(pages: list[tuple[list[list[str]], list[int]]], steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> Field:
-        """Maximum likelihood with a small ridge, by Adam on the full sample; forward-backward runs over all pages at once."""
-        pages = [p for p in pages if p[0]]
-        if not pages:
-            return Field({}, np.zeros(0), np.zeros((2, 2)))
-        names: dict[str, int] = {}
-        rows = [[names.setdefault(f, len(names)) for f in row] for page, _ in pages for row in page]
-        wide, n = max(map(len, rows), default=1), len(rows)
-        index = np.full((n, wide), len(names), dtype=np.int64)
-        for i, row in enumerate(rows):
-            index[i, : len(row)] = row
-        truth = np.array([y for _, labels in pages for y in labels], dtype=np.int64)
-        sizes = np.array([len(p) for p, _ in pages], dtype=np.int64)
-        starts = np.cumsum(sizes) - sizes
-        longest = int(sizes.max(initial=0))
-        place = np.minimum(starts[:, None] + np.arange(longest), n - 1)
-        live = np.arange(longest) < sizes[:, None]
-        inner = np.ones(n, dtype=bool)
-        inner[starts] = False
-        counted = np.zeros((2, 2))
-        np.add.at(counted, (truth[:-1][inner[1:]], truth[1:][inner[1:]]), 1)
-        theta = np.zeros(len(names) + 1 + 4)
-        m, v = np.zeros_like(theta), np.zeros_like(theta)
-        for t in range(1, steps + 1):
-            weights, moves = theta[: len(names) + 1], theta[len(names) + 1 :].reshape(2, 2)
-            s = weights[index].sum(axis=1)
-            x = np.stack([np.zeros(n), s], axis=1)[place]
-            ahead, behind = np.zeros((len(sizes), longest, 2)), np.zeros((len(sizes), longest, 2))
-            ahead[:, 0] = x[:, 0]
-            for k in range(1, longest):
-                step = np.logaddexp(ahead[:, k - 1, :1] + moves[0], ahead[:, k - 1, 1:] + moves[1]) + x[:, k]
-                ahead[:, k] = np.where(live[:, k, None], step, ahead[:, k - 1])
-            total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
-            for k in range(longest - 2, -1, -1):
-                y = x[:, k + 1] + behind[:, k + 1]
-                step = np.stack([np.logaddexp(moves[0, 0] + y[:, 0], moves[0, 1] + y[:, 1]), np.logaddexp(moves[1, 0] + y[:, 0], moves[1, 1] + y[:, 1])], axis=1)
-                behind[:, k] = np.where(live[:, k + 1, None], step, 0)
-            single = np.exp(ahead + behind - total[:, None, None])
-            error = single[:, :, 1][live] - truth
-            grad = np.zeros_like(theta)
-            grad[: len(names) + 1] = np.bincount(index.ravel(), np.repeat(error, wide), len(names) + 1)
-            grad[len(names)] = 0
-            both = ahead[:, :-1, :, None] + moves + (x + behind)[:, 1:, None, :] - total[:, None, None, None]
-            grad[len(names) + 1 :] = (np.exp(np.where(live[:, 1:, None, None], both, -np.inf)).sum(axis=(0, 1)) - counted).ravel()
-            grad = grad / max(1, n) + decay * theta
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        return Field(names, theta[: len(names)].copy(), theta[len(names) + 1 :].reshape(2, 2).copy())
-
-
-def fit(pages: DataFrame, key: str = "page_id", text: str = "html", sample: int = SAMPLE) -> Field:
-    """A model of at most ``sample`` pages, the same for the same pages (they are picked by the hash of their key)."""
-    keyed = pages.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text)
+def features(page: list[Block], common: frozenset[int] = frozenset()) -> list[list[str]]:
+    """Names of the features that hold for each block."""
+    out = []
+    for own, before, after, place, text in _signatures(page, common):
+        row = _spell(own) + _spell_place(place) + [f"w={w}" for w in _words(text)]
+        row += _near(before, "-1") if before else ["-1:none"]
+        row += _near(after, "+1") if after else ["+1:none"]
+        out.append(row)
+    return out
+
+
+class Model:
+    """The trained field, with the scores of what comes again and again kept by the worker."""
+
+    def __init__(self, field: Field):
+        self.field = field
+        self.words = {name[2:]: w for name, w in field.table.items() if name.startswith("w=")}
+        self.known: dict[tuple, float] = {}
+
+    def __reduce__(self):
+        return Model, (self.field,)
+
+    def _of(self, kind: str, what: tuple | None, spell) -> float:
+        key = (kind, what)
+        if (x := self.known.get(key)) is None:
+            if len(self.known) > 200_000:  # a memory bound without effect on results
+                self.known.clear()
+            x = self.known[key] = self.field.score(spell())
+        return x
+
+    def scores(self, page: list[Block], common: frozenset[int]) -> list[float]:
+        out = []
+        get = self.words.get
+        for own, before, after, place, text in _signatures(page, common):
+            s = self._of("o", own, lambda: _spell(own)) + self._of("p", place, lambda: _spell_place(place))  # noqa: B023
+            s += self._of("-1", before, lambda: _near(before, "-1") if before else ["-1:none"])  # noqa: B023
+            s += self._of("+1", after, lambda: _near(after, "+1") if after else ["+1:none"])  # noqa: B023
+            out.append(s + sum([get(w, 0.0) for w in _words(text)]))
+        return out
+
+    def body_of(self, page: list[Block], common: frozenset[int] = frozenset()) -> list[Block]:
+        """The blocks labelled body: the best labelling, or, where it has none, the best one that has."""
+        return self.parts(page, common)[0]
+
+    def parts(self, page: list[Block], common: frozenset[int] = frozenset()) -> tuple[list[Block], list[Block]]:
+        """(body, what may stand in for it): where the best labelling has no body, also the blocks without links that do not repeat."""
+        scores = self.scores(page, common)
+        labels, rest = self.field.decode(scores), []
+        if not any(labels):
+            labels = self.field.decode(scores, least_one=True)
+            rest = [b for b in page if not b.hrefs and not _repeats(b, common)]
+        return [b for b, label in zip(page, labels, strict=True) if label], rest
+
+
+def repeated_blocks(pages: DataFrame, share: float = REPEATED, least: int = LEAST) -> DataFrame:
+    """(site, common): hashes of the blocks that stand on ``share`` of the site's pages, and on ``least`` at least.
+
+    All pages count.  The counts are combined before the shuffle, so a menu of a
+    site with a third of all pages is one row a task; two pages with one url are
+    told by least and greatest url, so a page stored again does not repeat itself.
+    """
+    site = F.coalesce("site", F.lit(""))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            owners, hashes = [], []
+            for k, text in enumerate(pdf["html"]):
+                seen = {block_hash(b.text) for b in blocks(text) if len(b.text) >= 4}
+                hashes += seen
+                owners += [k] * len(seen)
+            owners = np.array(owners, dtype=np.int64)
+            yield pd.DataFrame({"site": pdf["site"].to_numpy()[owners], "u": pdf["u"].to_numpy()[owners], "h": np.array(hashes, dtype=np.int64)})
+
+    rows = pages.where("html is not null").select(site.alias("site"), F.xxhash64("url").alias("u"), "html").mapInPandas(run, "site string, u long, h long")
+    sizes = pages.where("html is not null").groupBy(site.alias("site")).agg(F.count("*").alias("pages"))
+    counted = rows.groupBy("site", "h").agg(F.count("*").alias("n"), F.min("u").alias("lo"), F.max("u").alias("hi")).where((F.col("n") >= least) & (F.col("lo") < F.col("hi")))
+    kept = counted.join(sizes, "site").where(F.col("n") >= share * F.col("pages"))
+    return kept.groupBy("site").agg(F.collect_list("h").alias("common"))  # at most the mean number of blocks a page, divided by the share
+
+
+def with_repeated(pages: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``pages`` with their site's repeated blocks (a list of bounded length; a site with many pages is split by AQE)."""
+    return pages.withColumn("site", F.coalesce("site", F.lit(""))).join(repeated, "site", "left")
+
+
+def sampled(pages: DataFrame, sample: int = SAMPLE) -> list[tuple[list[Block], frozenset[int]]]:
+    """The blocks of at most ``sample`` pages (with ``common``), the same for the same pages: picked by the hash of their id."""
+    keyed = pages.where("html is not null and page_id is not null")
     # the keys are picked without the texts; only the picked texts travel
-    picked = keyed.select(key, F.xxhash64(key).alias("__h")).distinct().orderBy("__h").limit(sample)
-    some = keyed.join(F.broadcast(picked), key).groupBy("__h").agg(F.min(text).alias(text)).orderBy("__h").select(text)
-    known = [blocks(row[0]) for row in some.collect()]  # a bounded sample
-    return Field.train([(features(p), teach(p)) for p in known])
+    picked = keyed.select("page_id", F.xxhash64("page_id").alias("__h")).distinct().orderBy("__h").limit(sample)
+    some = keyed.select("page_id", "html", "common").join(F.broadcast(picked), "page_id").groupBy("__h").agg(F.min(F.struct("html", "common")).alias("r")).orderBy("__h")
+    return [(blocks(row[0]), frozenset(row[1] or ())) for row in some.select("r.html", "r.common").collect()]  # a bounded sample
+
+
+def fit(known: list[tuple[list[Block], frozenset[int]]]) -> Model:
+    """A model of the pages given, the same for the same pages."""
+    rows = [(features(p, c), teach(p, c)) for p, c in known]
+    return Model(Field.train(rows, least=WORD_BLOCKS))
+
 
+_MODELS: OrderedDict[tuple, Model] = OrderedDict()
 
-def body_of(field: Field, page: list[Block]) -> list[Block]:
-    """The blocks labelled body; where the model finds none, those of which nothing speaks for the frame."""
-    rows = features(page)
-    labels = field.decode(rows)
-    if not any(labels):
-        labels = ["plain" in row for row in rows]
-    return [b for b, label in zip(page, labels, strict=True) if label]
+
+def fitted(pages: DataFrame, known: list[tuple[list[Block], frozenset[int]]] | None = None) -> Model:
+    """A model of ``pages`` (with ``common``), fitted once for the files they are read from and kept by the driver.
+
+    ``known``: the sampled pages where the caller has them already; the first :data:`SAMPLE` train the model.
+    """
+    files = tuple(sorted(pages.inputFiles()))
+    key = (pages.sparkSession.sparkContext.applicationId, files)
+    if not files or key not in _MODELS:
+        _MODELS[key] = fit((sampled(pages) if known is None else known)[:SAMPLE])
+        while len(_MODELS) > 4:
+            _MODELS.popitem(last=False)
+    return _MODELS[key]
 
 
 def _md5(text: str) -> str:
     return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def main_bodies(pages: DataFrame, field: Field, residue=None) -> DataFrame:
-    """(kind, id, block_md5) of the distinct body blocks (``page``) and body links (``link``) of each page.
+def common_of(value) -> frozenset[int]:
+    return frozenset(value.tolist()) if value is not None else frozenset()
 
-    ``residue(body)`` tells the pages without content, which are left out.
+
+def main_bodies(pages: DataFrame, model: Model, residue=None) -> DataFrame:
+    """(kind, id, block_md5) of the distinct body blocks (``page``) and body links (``link``) of each page (with ``common``).
+
+    ``residue(body, challenged, rest, common)`` tells the pages without content, which are left out.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             kinds, ids, sums = [], [], []
-            for key, text, links in zip(pdf["page_id"], pdf["html"], pdf["links"], strict=True):
-                body = body_of(field, blocks(text))
-                if not body or residue is not None and residue(body):
+            for key, text, links, common, challenged in zip(pdf["page_id"], pdf["html"], pdf["links"], pdf["common"], pdf["challenged"], strict=True):
+                common = common_of(common)
+                body, rest = model.parts(blocks(text), common)
+                if not body or residue is not None and residue(body, bool(challenged), rest, common):
                     continue
                 inside = {h for b in body for h in b.hrefs}
                 for kind, values in (("page", {b.text for b in body}), ("link", {u for u in links if u in inside} if links is not None else ())):
@@ -249,24 +317,6 @@ def main_bodies(pages: DataFrame, field: Field, residue=None) -> DataFrame:
                     sums += map(_md5, values)
             yield pd.DataFrame({"kind": kinds, "id": ids, "block_md5": sums})
 
-    rows = pages.where("page_id is not null").select("page_id", "html", F.transform("page_links", lambda x: x["url"]).alias("links"))
+    challenged = F.col("challenged") if "challenged" in pages.columns else F.lit(False)
+    rows = pages.where("page_id is not null").select("page_id", "html", F.transform("page_links", lambda x: x["url"]).alias("links"), "common", challenged.alias("challenged"))
     return rows.mapInPandas(run, "kind string, id long, block_md5 string")
-
-
-def _java(words: list[str]) -> str:
-    return "|".join(re.sub(r"([.\\+*?\[\](){}|^$])", r"\\\1", w) for w in sorted(words, key=len, reverse=True))
-
-
-def framed(context: Column) -> Column:
-    """Whether a row text holds menu, breadcrumb, cookie, sharing or footer text of a page's frame."""
-    low = F.lower(F.regexp_replace(context, r"[\s ]+", " "))
-    menu = _java(list(_MENU))
-    several = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{menu})(?![\p{{L}}\p{{N}}])[ ›»>|·:/,-]*){{2,}}"
-    share = rf"(?:^|[ ›|·])(?:{_java([s for s in _SHARE if ' ' in s])})(?:$|[ ›|·.])|^(?:{_java(list(_SHARE))})(?: |$)|(?: )(?:{_java(list(_SHARE))})$"
-    said = _java([*phrases.listed(phrases.COOKIE), *phrases.listed(phrases.FOOTER)])
-    return low.rlike(f"›|© ?\\d{{4}}|{said}") | low.rlike(several) | low.rlike(share)
-
-
-def framed_contexts(candidates: DataFrame) -> DataFrame:
-    rows = candidates.where("cand_id is not null").where(framed(F.col("context")))
-    return rows.select(F.lit("context").alias("kind"), F.col("cand_id").cast("long").alias("id"), F.lit("").alias("block_md5")).distinct()

@@ -4,25 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm.boilerplate import fit, framed_contexts, main_bodies
+from gleaner.llm import contexts
+from gleaner.llm.boilerplate import fitted, main_bodies, repeated_blocks, sampled, with_repeated
 from gleaner.llm.canonical import link_copies, link_records
 from gleaner.llm.leakage import find_leaks
-from gleaner.llm.residue import is_residue, residue_pages
+from gleaner.llm.residue import is_residue, residue_pages, with_challenged
 from gleaner.llm.spans import shared_spans
 from gleaner.llm.survivors import best_fields, grouped, vote_records
 from gleaner.llm.tokens import encode_corpus
 from gleaner.session import table
 
 
-def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with what repeats on their site and whether it ever showed a challenge."""
     pages = table(spark, folder, "pages")
-    bodies = main_bodies(pages, fit(pages), is_residue)
-    return bodies.unionByName(framed_contexts(table(spark, folder, "candidates")))
+    return with_challenged(with_repeated(pages, repeated_blocks(pages)), table(spark, folder, "domain_patterns"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _pages(spark, folder)
+    known = sampled(pages, contexts.SAMPLE)
+    model = fitted(pages, known)
+    bodies = main_bodies(pages, model, is_residue)
+    return bodies.unionByName(contexts.framed_contexts(table(spark, folder, "candidates"), contexts.fit_words(known, model)))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages")
-    return residue_pages(pages, fit(pages))
+    pages = _pages(spark, folder)
+    return residue_pages(pages, fitted(pages))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

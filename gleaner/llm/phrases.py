@@ -1,75 +1,73 @@
-"""Words and phrases of page frames and of pages without content, in five languages (fixed values)."""
+"""General words of page frames, and phrases of pages without content, in five languages (fixed values).
+
+They are stems and stock phrases of the web at large, not of any one corpus.
+"""
 
 from __future__ import annotations
 
-# Labels of menus.
-MENU = """
-home|about us|investors|publications|press room|careers|contact|downloads|governance|fees|news|media|products|services|search|sitemap|login
-főoldal|rólunk|befektetőknek|közlemények|sajtószoba|karrier|kapcsolat|letöltések|díjak|hírek
-startseite|über uns|anleger|veröffentlichungen|presse|karriere|kontakt|dokumente|gebühren|aktuelles
-inicio|quiénes somos|inversores|publicaciones|prensa|empleo|contacto|documentos|tarifas|noticias
-accueil|à propos|investisseurs|publications|presse|carrières|contact|documents|tarifs|actualités
-"""
-# Headings of teasers.
-TEASER = """
-related news|most read|you may also like|quick links|read more|more news|related documents
-kapcsolódó hírek|legolvasottabb|gyors elérés|ez is érdekelheti|további hírek
-weitere meldungen|meistgelesen|schnellzugriff|das könnte sie interessieren|mehr zum thema
-noticias relacionadas|lo más leído|accesos|también le puede interesar
-sur le même sujet|les plus lus|accès rapide|vous aimerez aussi
-"""
-# Sharing, printing and moving about a page.
+
+def listed(text: str) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(p for line in text.strip().splitlines() for p in line.split("|")))
+
+
+# Stems of short blocks for sharing, printing and moving about a page.
 SHARE = """
-share this page|print|back to top|skip to content|print this page|send by e-mail
-oldal megosztása|nyomtatás|ugrás a tartalomra|vissza a tetejére|lap tetejére
-seite teilen|drucken|zum inhalt springen|nach oben
-compartir página|imprimir|saltar al contenido|volver arriba
-partager la page|partager cette page|imprimer|aller au contenu|haut de page|retour en haut
+share|print|tweet|back to top|skip to
+megoszt|nyomtat|vissza a tetej|ugrás a
+teilen|drucken|nach oben|zum inhalt
+compartir|imprimir|volver arriba|saltar al|ir al contenido
+partager|imprimer|haut de page|aller au
 """
-# Parts of cookie notices and of footers; {} stands for a name.
+# Stems of notices on cookies and consent.
 COOKIE = """
-stores small files on your device|by going on you agree to this|your privacy matters to us|manage preferences, reject optional trackers
-we use cookies on this site|accept all or change your choices|set identifiers for statistics and for advertising|this website and its partners
-how consent can be taken back|read our notice to learn how
-kis fájlokat tárol az eszközén|az oldal sütiket használ|mindet elfogadom vagy beállítások|fontos számunkra az adatvédelem|beállítások kezelése, elutasítás
-wir verwenden cookies|alle annehmen oder auswahl ändern|ihre privatsphäre ist uns wichtig|einstellungen verwalten, ablehnen|speichert kleine dateien auf ihrem gerät
-usamos cookies para que|aceptar todo o cambiar opciones|tu privacidad nos importa|gestionar preferencias, rechazar|guarda pequeños archivos en tu dispositivo
-nous utilisons des cookies|tout accepter ou modifier vos choix|votre vie privée compte|gérer les préférences, refuser|enregistre de petits fichiers sur votre appareil
+cookie|consent|gdpr|privacy|tracker|opt out
+süti|adatvédel|hozzájárul
+einwillig|datenschutz|privatsphäre
+privacidad|consentimiento
+confidentialité|consentement|vie privée
 """
+# Stock phrases of footers.
 FOOTER = """
-all rights reserved|imprint and legal notice of|subscribe to our newsletter|registered office:|company number|follow us on
-minden jog fenntartva|impresszum és jogi nyilatkozat|székhely:|nyilvántartási szám:|iratkozzon fel hírlevelünkre
-alle rechte vorbehalten|impressum und rechtliches von|sitz: mühlweg|registernummer|abonnieren sie unseren newsletter
-todos los derechos reservados|aviso legal de|sede: camino|registro mercantil|suscríbase a nuestro boletín
-tous droits réservés|mentions légales de|siège : |siège: |abonnez-vous à notre
+©|copyright|all rights reserved|newsletter|imprint|terms of use|privacy policy
+minden jog fenntartva|impresszum|hírlevél
+alle rechte vorbehalten|impressum|nutzungsbedingungen
+todos los derechos reservados|aviso legal|boletín
+tous droits réservés|mentions légales|lettre d'information
 """
-
-
-def listed(text: str) -> tuple[str, ...]:
-    return tuple(dict.fromkeys(p for line in text.strip().splitlines() for p in line.split("|")))
-# What stands where content should be.  Errors and access:
+# Errors and refused access.
 ERROR = """
-service temporarily unavailable. try again in a few minutes|you do not have permission to open this resource|this page could not be found|page not found
-your session has expired. sign in again to go on|bad gateway: upstream|closed the connection|internal error while handling your request. reference|internal server error
-sorry, the address you asked for does not exist any more|we are down for planned maintenance and back soon|too many requests. slow down and retry later|access denied|forbidden
-hiba történt a kérés feldolgozásakor. azonosító|a szolgáltatás átmenetileg nem érhető el|a keresett oldal nem található|nincs jogosultsága az oldal megtekintéséhez|a munkamenet lejárt|hozzáférés megtagadva
-der dienst ist vorübergehend nicht erreichbar|seite nicht gefunden|zugriff verweigert|die sitzung ist abgelaufen|interner fehler, vorgang|ein fehler ist aufgetreten
-servicio no disponible por ahora|página no encontrada|no se encontró la página|acceso denegado|su sesión ha caducado|error interno, referencia|no encontramos esta página
-service momentanément indisponible|cette page est introuvable|page introuvable|accès refusé|accès interdit|votre session a expiré|erreur interne, référence
+404|not found|could not be found|cannot be found|can't be found|does not exist|doesn't exist|no longer exists|no longer available|page is missing|oops|sorry
+403|forbidden|access denied|access to this|permission|do not have permission|don't have permission|do not have access|this resource|not authorized|not authorised|unauthorized|unauthorised|session has expired|session expired|session timed out|log in again|sign in|please log in
+500|502|503|504|internal server error|server error|internal error|error occurred|an error|something went wrong|bad gateway|bad request|gateway timeout|timed out|upstream|closed the connection|could not connect|handling your request|processing your request|your request
+unavailable|not available|under maintenance|maintenance|be back soon|back soon|try again|retry|in a few minutes|too many requests|slow down|rate limit|reference|request id|incident|the address you asked for
+hiba|nem található|nem létezik|hozzáférés|jogosultsága|jogosultság|megtekintés|munkamenet|lejárt|nem érhető el|átmenetileg|karbantartás|próbálja|később|azonosító|kérés feldolgozás|jelentkezzen be|keresett oldal|szolgáltatás
+fehler|nicht gefunden|existiert nicht|zugriff|verweigert|keine berechtigung|sitzung|abgelaufen|nicht erreichbar|nicht verfügbar|vorübergehend|wartung|versuchen sie|erneut|später|vorgang|melden sie sich|seite|dienst
+error|no encontrad|no se encontró|no encontramos|no existe|acceso|denegado|no tiene permiso|permiso|sesión|caducado|expirado|no disponible|por ahora|mantenimiento|inténtelo|intente|más tarde|referencia|inicie sesión|esta página|servicio
+erreur|introuvable|n'existe pas|n’existe pas|accès|refusé|interdit|autorisation|autorisé|session|expiré|indisponible|momentanément|maintenance|réessayez|plus tard|référence|reconnectez|cette page|service
 """
 # Demands for scripts, loading notices and challenges.
 SCRIPT = """
-please turn on javascript to view this page|your browser is blocking scripts we rely on|this application needs scripts to run. enable them in your browser and reload|please enable javascript|javascript is required|you need to enable javascript to run this app
-az oldal megtekintéséhez engedélyezze a javascriptet|diese anwendung benötigt skripte|esta aplicación necesita|cette application a besoin de scripts|az alkalmazás futtatásához szkriptek|bitte aktivieren sie javascript|active javascript para ver esta página|veuillez activer javascript pour afficher cette page
-loading…|loading..|this site cannot be shown without javascript|please wait…|betöltés folyamatban|wird geladen|cargando…|cargando...|chargement en cours|chargement…
-unusual traffic was seen from your network. request|one more step: the security check for this site must finish first|checking that you are a person before|opens. this takes a few seconds|verify you are human by ticking the box below. ray|checking your browser before accessing|complete the captcha
+javascript|enable|turn on|scripts|your browser|unsupported browser|to view this|to run this app|reload|refresh the page|this application|this site|cannot be shown|without
+loading|please wait|just a moment|redirecting|one moment
+verify you are human|you are human|not a robot|a robot|are a person|captcha|checking your browser|checking that you|before accessing|security check|unusual traffic|your network|suspicious activity|ray id|takes a few seconds|must finish|one more step|ddos protection|request
+szkript|engedélyezze|böngésző|betöltés|folyamatban|kérjük várjon|alkalmazás|megtekintéséhez|futtatás|ellenőrzés|robot
+aktivieren sie|skripte|browser|wird geladen|bitte warten|anwendung|benötigt|sicherheitsprüfung|überprüf|seite anzeigen
+active|activar|habilite|guiones|navegador|cargando|espere|aplicación|necesita|ver esta página|comprobación|verificación
+activer|activez|navigateur|chargement|en cours|veuillez|patientez|application|a besoin de|afficher|vérification|sécurité
 """
-# Filler.
+# Filler that stands where text is to come.
 FILLER = """
-texte à venir|sample text goes here|aaa bbb ccc|ide jön a szöveg|replace this paragraph with your own copy|undefined undefined null|hier steht später der text|todo todo|your headline goes here|asdf asdf|texto de ejemplo|test test test|xxx xxx xxxx xx xxxxx|text to follow|coming soon|under construction|beispieltext|mintaszöveg|texte d'exemple
+lorem ipsum|dolor sit amet|consectetur adipiscing|sample text|placeholder|text goes here|goes here|your own copy|replace this|your headline|your text|insert text|to follow|text to come|coming soon|under construction|todo|tbd|untitled|undefined|null|nan|dummy text|test test|asdf|qwerty|foo bar
+mintaszöveg|ide jön|a szöveg|hamarosan|feltöltés alatt|fejlesztés alatt
+beispieltext|mustertext|platzhalter|hier steht|folgt in kürze|im aufbau|demnächst
+texto de ejemplo|texto de relleno|próximamente|en construcción|aquí va
+texte d'exemple|texte d’exemple|texte à venir|à venir|bientôt|en construction|faux texte
 """
-# Words of filler Latin.
-LATIN = """
-lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim
-egest curba tempus finib velor massa ultre ligna varus sagit pretum lacera facil nulda dapib vitae senda quinta morbit orvis
+# Words that any sentence of a few words has, by language.
+FUNCTION = """
+the of and to in a is for on with by at from as that this it be are was were or an its not which has have had
+a az és hogy nem is egy volt meg ki ezt mint csak de be el le fel után által szerint számára vonatkozó
+der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch an nach bei aus über
+el la los las de y en que un una por con para del se al su es lo como más o
+le la les de des du et en un une que qui dans pour par sur au aux est pas plus avec son sa ses à l d
 """

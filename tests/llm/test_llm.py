@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gleaner.llm import boilerplate, canonical, leakage, pages, residue, spans, survivors, tokens
+from gleaner.llm import boilerplate, canonical, contexts, crf, leakage, pages, residue, spans, survivors, tokens
 
 RANKS = pytest.mark.skipif(not __import__("os").path.exists(tokens.RANKS), reason="no tokenizer files")
 
@@ -37,16 +37,26 @@ def test_blocks_rules():
 @pytest.fixture(scope="module")
 def site(spark):
     link = "array<struct<url:string,name:string>>"
-    rows = [(i, page(i, content(i), SIDE if i % 2 else ""), [(f"https://s/files/a{i}.pdf", "x"), ("https://s/home", "h"), ("https://s/files/other.pdf", "o")]) for i in range(40)]
-    rows += [(100, page(100, "<p>Please turn on JavaScript to view this page.</p>", SIDE), None), (101, page(101, "<p>{{ doc.text }}</p><p>${summary}</p>"), []), (102, page(102, "<p>Lorem ipsum dolor sit amet velor massa</p>"), [])]
-    rows += [(103, page(103, content(103) + "<p>Visitors met the text access denied in the year 2019 and asked why the portal said so.</p>"), []), (104, None, None), (105, "", []), (None, "x", [])]
-    return spark.createDataFrame(rows, f"page_id long, html string, page_links {link}").withColumnRenamed("x", "y")
+    rows = [(i, "s", page(i, content(i), SIDE if i % 2 else ""), [(f"https://s/files/a{i}.pdf", "x"), ("https://s/home", "h"), ("https://s/files/other.pdf", "o")]) for i in range(40)]
+    rows += [(100, "s", page(100, "<p>Please enable JavaScript to view this page.</p>", SIDE), None), (101, "s", page(101, "<p>{{ doc.text }}</p><p>${summary" + "x" * 200 + "}</p>"), []), (102, None, page(102, "<p>Lorem ipsum dolor sit amet velor massa</p>"), [])]
+    rows += [(103, "s", page(103, content(103) + "<p>Visitors met the text access denied in the year 2019 and asked why the portal said so.</p>"), []), (104, "s", None, None), (105, None, "", []), (None, "s", "x", [])]
+    d = spark.createDataFrame(rows, f"page_id long, site string, html string, page_links {link}").selectExpr("*", "concat('https://s/', page_id) as url", "1 as h", "'n' as n")
+    return boilerplate.with_repeated(d, boilerplate.repeated_blocks(d))
+
+
+def test_repeated_blocks(spark):
+    block = lambda *texts: "".join(f"<p>{t}</p>" for t in texts)
+    rows = [(f"u{i}", "a", block("every page has this", f"own words {i}", "same" if i < 2 else "other")) for i in range(20)]
+    rows += [("u1", "b", block("stored again")), ("u1", "b", block("stored again")), ("u1", "b", block("stored again")), ("u2", None, None)]
+    d = spark.createDataFrame(rows, "url string, site string, html string")
+    got = {r["site"]: set(r["common"]) for r in boilerplate.repeated_blocks(d).collect()}
+    assert got == {"a": {boilerplate.block_hash("every page has this"), boilerplate.block_hash("other")}}
 
 
 def test_main_bodies_and_residue(site, rows):
-    field = boilerplate.fit(site)
-    assert rows(residue.residue_pages(site, field)) == [(100,), (101,), (102,)]
-    got = {r for r in rows(boilerplate.main_bodies(site, field, residue.is_residue), "kind", "id", "block_md5")}
+    model = boilerplate.fitted(site)
+    assert rows(residue.residue_pages(site, model)) == [(100,), (101,), (102,)]
+    got = {r for r in rows(boilerplate.main_bodies(site, model, residue.is_residue), "kind", "id", "block_md5")}
     md5 = boilerplate._md5
     for i in range(40):
         mine = {(k, h) for k, n, h in got if n == i}
@@ -56,35 +66,97 @@ def test_main_bodies_and_residue(site, rows):
 
 def test_no_pages(site, rows):
     none = site.limit(0)
-    field = boilerplate.fit(none)
-    assert rows(boilerplate.main_bodies(none, field)) == [] and rows(residue.residue_pages(none, field)) == []
+    model = boilerplate.fitted(none)
+    assert rows(boilerplate.main_bodies(none, model)) == [] and rows(residue.residue_pages(none, model)) == []
+
+
+def test_other_words_than_those_trained_on():
+    """A banner, a teaser and a footer in words that no training page and no list has."""
+    known = [(pages.blocks(page(i, content(i), SIDE if i % 3 else "")), frozenset()) for i in range(60)]
+    model = boilerplate.fit(known)
+    side = '<h5>Popular posts</h5><li><a href="https://t/posts/spring.html">How the spring went</a></li><p>The gardeners counted their tulips in the rain.</p>'
+    text = (
+        '<body><div><p>We value your choices. Pick what we may keep.</p><button>Fine</button></div><ul><li><a href="https://t/start">Start</a></li><li><a href="https://t/shop">Shop</a></li></ul>'
+        f"<div><h1>Tulips</h1><p>Tulips were planted along the canal by the town in the year 1910, and they are still there.</p><p>The town counts them each May.</p></div><div>{side}</div>"
+        '<footer><p>Gardens of the town, since 1910</p><a href="https://t/legal">Legal</a></footer></body>'
+    )
+    assert [b.text for b in model.body_of(pages.blocks(text))] == ["Tulips", "Tulips were planted along the canal by the town in the year 1910, and they are still there.", "The town counts them each May."]
 
 
 def test_held_out_accuracy():
-    known = [pages.blocks(page(i, content(i), SIDE if i % 3 else "")) for i in range(60)]
-    field = boilerplate.Field.train([(boilerplate.features(p), boilerplate.teach(p)) for p in known[:30]])
-    hits = [a == b for p in known[30:] for a, b in zip(field.decode(boilerplate.features(p)), boilerplate.teach(p), strict=True)]
-    assert np.mean(hits) > 0.98
+    known = [(pages.blocks(page(i, content(i), SIDE if i % 3 else "")), frozenset()) for i in range(60)]
+    model = boilerplate.fit(known[:30])
+    for i, (p, _) in enumerate(known[30:], 30):
+        assert [b.text for b in model.body_of(p)] == [f"Title {i}", f"The board of Unit {i} approved a reserve of {i * 7919} for the year.", f"Report {i} (PDF)"]
+
+
+def _worth(field, path):
+    return sum(w * y for w, y in zip(field.weights, path, strict=True)) + sum(field.moves[a, b] for a, b in zip(path, path[1:], strict=False))
 
 
 def test_viterbi_is_best_path():
     rnd = random.Random(1)
-    for _ in range(30):
+    for _ in range(40):
         n = rnd.randint(1, 7)
-        field = boilerplate.Field({str(i): i for i in range(n)}, np.array([rnd.uniform(-2, 2) for _ in range(n)]), np.array([[rnd.uniform(-2, 2) for _ in "ab"] for _ in "ab"]))
-        rows = [[str(i)] for i in range(n)]
+        field = crf.Field({str(i): i for i in range(n)}, np.array([rnd.uniform(-2, 1) for _ in range(n)]), np.array([[rnd.uniform(-2, 2) for _ in "ab"] for _ in "ab"]))
+        paths = [[k >> i & 1 for i in range(n)] for k in range(1 << n)]
+        scores = field.weights.tolist()
+        assert _worth(field, field.decode(scores)) == pytest.approx(max(_worth(field, p) for p in paths))
+        assert _worth(field, field.decode(scores, least_one=True)) == pytest.approx(max(_worth(field, p) for p in paths if any(p)))
+        again = crf.Field.from_json(field.to_json())
+        assert again.decode([again.score([str(i)]) for i in range(n)]) == field.decode(scores)
+
+
+def test_posteriors_sum_over_all_paths():
+    rnd = random.Random(2)
+    n = 5
+    field = crf.Field({str(i): i for i in range(n)}, np.array([rnd.uniform(-2, 2) for _ in range(n)]), np.array([[0.3, -0.2], [0.1, 0.7]]))
+    x = np.stack([np.zeros(n), field.weights], axis=1)[None]
+    single, _ = crf.posteriors(x, field.moves, np.ones((1, n), dtype=bool))
+    paths = [[k >> i & 1 for i in range(n)] for k in range(1 << n)]
+    odds = np.exp([_worth(field, p) for p in paths])
+    assert single[0, :, 1] == pytest.approx((odds[:, None] * np.array(paths)).sum(axis=0) / odds.sum())
 
-        def worth(path, field=field, n=n):
-            return sum(field.weights[i] * path[i] for i in range(n)) + sum(field.moves[path[i], path[i + 1]] for i in range(n - 1))
 
-        best = max(([k >> i & 1 for i in range(n)] for k in range(1 << n)), key=worth)
-        assert worth(field.decode(rows)) == pytest.approx(worth(best))
+def test_unknown_labels_are_filled_by_their_neighbours():
+    rows = [[["a"], ["b"], ["a"]], [["b"], ["b"], ["b"]], [["a"], ["a"], ["a"]]]
+    field = crf.Field.train([(r, y) for r, y in zip(rows, ([1, None, 1], [0, 0, 0], [1, None, 1]), strict=True)] * 20)
+    assert [field.decode([field.score(f) for f in r]) for r in rows] == [[1, 1, 1], [0, 0, 0], [1, 1, 1]] and field.decode([]) == []
 
 
 def test_contexts(spark, rows):
-    cases = {"Home › Fees Report": 1, "About us Downloads Contact Report 2020": 1, "Report Share this page Back to top": 1, "© 2020 X. All rights reserved. Y": 1, "Cookie statement 2016 PDF 3 MB": 0, "Fees report for the home market": 0, "": 0, None: 0, "Prensa » Prensa > Empleo": 1}
-    d = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "cand_id long, context string")
-    assert [r[1] for r in rows(boilerplate.framed_contexts(d))] == [i for i, v in enumerate(cases.values()) if v]
+    known = [(pages.blocks(page(i, content(i), SIDE if i % 3 else "")), frozenset()) for i in range(120)]
+    words = contexts.fit_words(known, boilerplate.fit(known))
+    cases = {"Home › Fees Report 7": 1, "Fees Home Fees Report 2": 1, "Report 5 (PDF) © 2020 Corp. All rights reserved.": 1, "© 2020 Corp. All rights reserved.": 1, "Report 9 (PDF)": 0, "Report 3": 0, "": 0, " ": 0, None: 0}
+    d = spark.createDataFrame([(i, c, "x") for i, c in enumerate(cases)] + [(None, "Home › Fees", "x"), (0, "Home › Fees Report 7", "y")], "cand_id long, context string, id string")
+    assert [r[1] for r in rows(contexts.framed_contexts(d, words))] == [i for i, v in enumerate(cases.values()) if v]
+    assert rows(contexts.framed_contexts(d.limit(0), words)) == []
+
+
+def test_words_decode_as_the_plain_field():
+    rnd = random.Random(4)
+    letters = "abcd"
+    field = crf.Field({n: i for i, n in enumerate(["bias", *(f"{d}={w}" for d in contexts.AROUND for w in ["", *letters])])}, np.array([rnd.uniform(-1, 1) for _ in range(1 + len(contexts.AROUND) * 5)]), np.array([[0.5, -0.5], [-0.4, 0.6]]))
+    words = contexts.WordField(field, set(letters))
+    texts = [" ".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9))) for _ in range(60)]
+
+    def plain(text):
+        w = text.split()
+        at = lambda k: w[k] if 0 <= k < len(w) else ""
+        return field.decode([field.score(["bias", *(f"{d}={at(k + d)}" for d in contexts.AROUND)]) for k in range(len(w))])
+
+    want = [sum(p) >= 2 or sum(p) == len(p) for p in map(plain, texts)]
+    assert words.framed(texts).tolist() == want and 0 < sum(want) < 60
+
+
+def test_residue_of_bodies():
+    b = lambda *texts: pages.blocks("".join(f"<p>{t}</p>" for t in texts))
+    yes = ["404 Not Found", "Oops! That page can't be found.", "Enable JavaScript in your browser to use this site.", "Loading…", "Verify you are human to continue.", "Zugriff verweigert.", "xxx xxxx xx", "veldor ipsa quam turbo lenti", "Coming soon", "<% title %>"]
+    no = ["The board met in the spring and left the fee as it was.", "Visitors met the text access denied in the year 2019 and asked why the portal of the issuer said so again.", "Report 2020"]
+    assert all(residue.is_residue(b(t)) for t in yes) and not any(residue.is_residue(b(t)) for t in no)
+    assert not residue.is_residue([]) and not residue.is_residue(b(yes[0], no[0] * 2))
+    short = b("Request from this address held for the moment of a check by our guard")
+    assert residue.is_residue(short, challenged=True) and not residue.is_residue(short)
 
 
 # --- copies and survivors ------------------------------------------------------------------------
