@@ -155,7 +155,7 @@ def test_residue_of_bodies():
     no = ["The board met in the spring and left the fee as it was.", "Visitors met the text access denied in the year 2019 and asked why the portal of the issuer said so again.", "Report 2020"]
     assert all(residue.is_residue(b(t)) for t in yes) and not any(residue.is_residue(b(t)) for t in no)
     assert not residue.is_residue([]) and not residue.is_residue(b(yes[0], no[0] * 2))
-    short = b("Request from this address held for the moment of a check by our guard")
+    short = b("Request held for a moment of check by our guard")
     assert residue.is_residue(short, challenged=True) and not residue.is_residue(short)
 
 
