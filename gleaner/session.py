@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import os
+import re
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -47,13 +48,53 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for cut lineage that ``spark.checkpoint.dir`` names.
 
-    ``spark.checkpoint.dir`` names that folder.  Only where it is unset (tests,
-    a local session) a temporary folder of this machine is used.
+    Only a local session without that setting (tests) gets a temporary folder of
+    this machine, removed when Python ends; a cluster without it is an error, as
+    its executors share no local folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="gleaner-checkpoints-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "gleaner-checkpoints"))
+        context.setCheckpointDir(named)
+    return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, in the shared folder; Spark's cleaner removes the files where it is told to."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: for what several parts of a plan read in columns.
+
+    The table is removed when the session's Python process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/gleaner-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(_remove_written)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def _remove_written() -> None:
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001, S110 - the session has ended: its folder's owner cleans up
+            pass
