@@ -10,7 +10,7 @@ from gleaner.llm.canonical import link_copies, link_records
 from gleaner.llm.leakage import find_leaks
 from gleaner.llm.residue import is_residue, residue_pages, with_challenged
 from gleaner.llm.spans import shared_spans
-from gleaner.llm.survivors import best_fields, grouped, vote_records
+from gleaner.llm.survivors import best_fields, keyed, vote_records
 from gleaner.llm.tokens import encode_corpus
 from gleaner.session import table
 
@@ -43,11 +43,11 @@ def p3_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return best_fields(grouped(table(spark, folder, "candidates"), table(spark, folder, "domain_patterns")))
+    return best_fields(keyed(table(spark, folder, "candidates")), table(spark, folder, "domain_patterns"))
 
 
 def p6_votes(spark: SparkSession, folder: str) -> DataFrame:
-    return vote_records(grouped(table(spark, folder, "candidates"), table(spark, folder, "domain_patterns")))
+    return vote_records(keyed(table(spark, folder, "candidates")), table(spark, folder, "domain_patterns"))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:

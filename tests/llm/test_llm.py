@@ -174,17 +174,63 @@ def test_copies(spark, rows):
     assert rows(canonical.link_copies(d)) == [(2, 4), (3, 5), (7, 8)]
     records = {r["first_cand_id"]: r["copies"] for r in canonical.link_records(d).collect()}
     assert records == {2: 2, 3: 2, 7: 2, 9: 1}
+    again = spark.createDataFrame([*data, data[0], data[5], candidate(20, data[0][2], "B | A"), candidate(20, data[0][2], "B | A")], CANDS)
+    assert sorted(rows(canonical.link_copies(again))) == [(2, 4), (3, 5), (3, 20), (7, 8)]
     assert rows(canonical.link_copies(d.limit(0))) == []
 
 
 def test_best_fields(spark, rows):
     data = [candidate(4, "https://a/x", "ab", None, "2020-01-01", "api", 3), candidate(2, "https://A/X", "abc", "", "soon", "page", 9), candidate(3, "https://a/x/", "a-b-c", "zz", "2021-01-01", "page", 3), candidate(6, "https://a/y", "n"), candidate(7, None, "n")]
     patterns = spark.createDataFrame([], "domain string, updated_at timestamp, memory_snapshot map<string,string>")
-    g = survivors.grouped(spark.createDataFrame(data, CANDS), patterns)
-    assert rows(survivors.best_fields(g)) == [(2, "context", 3), (2, "dated", 3), (2, "name", 2), (2, "source", 2)]
-    v = survivors.vote_records(g).collect()
-    assert [(r["first_cand_id"], r["copies"], r["name"], r["context"], r["source"]) for r in v] == [(2, 3, "abc", "zz", "page")]
-    assert rows(survivors.best_fields(g.limit(0))) == [] == rows(survivors.vote_records(g.limit(0)))
+    g = survivors.keyed(spark.createDataFrame(data, CANDS))
+    for least in (100, 1):  # decided by one task, and as groups too large for one
+        assert rows(survivors.best_fields(g, patterns, least)) == [(2, "context", 3), (2, "dated", 3), (2, "name", 2), (2, "source", 2)]
+        v = survivors.vote_records(g, patterns, least=least).collect()
+        assert [(r["first_cand_id"], r["copies"], r["name"], r["context"], r["dated"], r["source"]) for r in v] == [(2, 3, "abc", "zz", "2021-01-01", "page")]
+    assert rows(survivors.best_fields(g.limit(0), patterns)) == [] == rows(survivors.vote_records(g.limit(0), patterns))
+
+
+def test_votes_are_summed_and_decay(spark):
+    """Against a plain reckoning of sums of trust times decay."""
+    rnd = random.Random(6)
+    data = [candidate(i, f"https://a/{rnd.randint(0, 5)}", rnd.choice(["Ann", "a-nn", "Bob", "", None]), rnd.choice(["x 1", "X1", "y"]), None, rnd.choice([*survivors.TRUST, "odd"]), rnd.randint(1, 28)) for i in range(120)]
+    want = {}
+    for r in data:
+        g = want.setdefault(r[2], {"n": 0, "first": r[0], "votes": {}})
+        g["n"] += 1
+        w = (5 - survivors.TRUST.index(r[6]) if r[6] in survivors.TRUST else 0) * 0.5 ** ((max(x[7] for x in data) - r[7]).days / survivors.HALF_LIFE_DAYS)
+        for f, v in (("name", r[3]), ("context", r[4]), ("source", r[6])):
+            if v:
+                t = g["votes"].setdefault((f, v.lower().replace("-", "").replace(" ", "") if f != "source" else v), [0.0, 1 << 60])
+                t[0] += w
+                t[1] = min(t[1], r[0])
+    patterns = spark.createDataFrame([], "domain string, updated_at timestamp, memory_snapshot map<string,string>")
+    for least in (1000, 3):
+        got = {r["first_cand_id"]: r for r in survivors.vote_records(survivors.keyed(spark.createDataFrame(data, CANDS)), patterns, least=least).collect()}
+        assert len(got) == len(want)
+        for g in want.values():
+            r = got[g["first"]]
+            assert r["copies"] == g["n"]
+            for f in ("name", "context", "source"):
+                value = max(((round(v, 9), -low, k[1]) for k, (v, low) in g["votes"].items() if k[0] == f))[2]
+                assert (r[f] if f == "source" else r[f].lower().replace("-", "").replace(" ", "")) == value
+
+
+def test_python_stands_behind_the_first_shuffle(spark, tmp_path):
+    """No canonical form of a raw row: nothing pushes the Python step below the collapse of byte-identical rows."""
+    data = [candidate(i, f"https://a/{i % 3}", "n") for i in range(9)]
+    spark.createDataFrame(data, CANDS).write.parquet(str(tmp_path / "c"))
+    d = spark.read.parquet(str(tmp_path / "c"))
+    plan = canonical.link_survivors(d, "cand_id", "url", "name").where("k1 is not null")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.index("MapInArrow") < plan.index("Exchange") < plan.index("Scan")
+    assert "ArrowEvalPython" not in canonical.link_records(d)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_canonical_form_keeps_parts_apart():
+    assert canonical.plain_url("https://a/x?ab&c") != canonical.plain_url("https://a/x?a&bc")
+    assert canonical.plain_name("ab|c") != canonical.plain_name("a|bc") and canonical.plain_name("b | a||") == canonical.plain_name("A|B")
+    assert canonical.plain("caf%E9") == canonical.plain("caf%C3%A9") != canonical.plain("caf%E8")
+    assert canonical.plain_url("https://a/x?b=2&a=1&") == canonical.plain_url("HTTPS://A/X?a=1&&b=2")
 
 
 # --- tokens --------------------------------------------------------------------------------------
