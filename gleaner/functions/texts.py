@@ -123,10 +123,10 @@ def json_object(c: Column) -> Column:
 
 
 def script_shell(html: Column) -> Column:
-    """Whether a page is a shell that scripts fill."""
-    text = F.length(F.trim(F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " "), r"<[^>]+>|\s+", " ")))
-    script = F.length(html) - F.length(F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", ""))
-    return (text < 300) | ((script > 3 * text) & (text < 1000)) | html.rlike(r"__NEXT_DATA__|ng-version|data-reactroot|id=\"(root|app)\"></div>|flt-glass-pane")
+    """Whether a page is a shell that scripts fill: hardly any text, or little text beside much script."""
+    text = F.length(F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", " "), r"\s+", " ")))
+    script = F.length(F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*>(.*?)</script>"), 1), ""))
+    return (text < 300) | ((script > 3 * text) & (text < 1000))
 
 
 def outcome(challenged_first: Column, challenged_last: Column, status: Column) -> Column:
@@ -138,16 +138,37 @@ def cost_usd(tokens: Column, per_million: float) -> Column:
 
 
 def keeps_name(name: Column, terms: Column) -> Column:
-    """Names that are no PDF are kept, others where a key term stands in them."""
+    """Whether a record's name is kept: none is not, names that are no PDF are, others where a key term stands in them or none is asked for."""
     low = F.lower(name)
-    return ~low.endswith(".pdf") | F.exists(terms, lambda t: low.contains(F.lower(t)))
-
-
-def date_like(sample: Column, iso: Column, today: str) -> Column:
-    """An ISO date written in the form in which ``sample`` shows ``today`` (yyyy-MM-dd); null where no form fits."""
+    named = F.coalesce(name, F.lit("")) != ""
+    return named & (~low.endswith(".pdf") | (F.size(terms) == 0) | F.exists(terms, lambda t: low.contains(F.lower(t))))
+
+
+def date_like(sample: Column, iso: Column, today: Column) -> Column:
+    """An ISO date written in the form in which ``sample`` shows ``today`` (yyyy-MM-dd); null where it does not show it.
+
+    The order of day, month and year is the one in which the sample reads as today, day first, then year first, then month
+    first; separators, two-digit years, missing zeros and a dot at the end are kept.
+    """
+    form = r"^(\d{1,4})(\D)(\d{1,2})(\D)(\d{1,4})(\.?)$"
+    s = F.trim(sample)
+    part = lambda i: F.regexp_extract(s, form, i)
+    ymd = F.split(iso, "-")
+    number = {"y": F.get(ymd, 0), "m": F.get(ymd, 1), "d": F.get(ymd, 2)}
+    now = F.split(today, "-")
+    shown = {"y": F.get(now, 0).cast("int"), "m": F.get(now, 1).cast("int"), "d": F.get(now, 2).cast("int")}
     out = F.lit(None).cast("string")
-    for form in ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd", "yyyy.MM.dd.", "d.M.yyyy", "d/M/yyyy", "M/d/yyyy"):
-        out = F.coalesce(out, F.when(F.trim(sample) == F.date_format(F.lit(today).cast("date"), form), F.date_format(F.expr("try_cast(NULL as date)") if iso is None else iso.cast("date"), form)))
+    for order in ("dmy", "ymd", "mdy"):
+        got = {k: part(2 * i + 1).try_cast("int") for i, k in enumerate(order)}
+        width = {k: F.length(part(2 * i + 1)) for i, k in enumerate(order)}
+        full = F.when(got["y"] < 100, got["y"] + 2000).otherwise(got["y"])
+        same = (full == shown["y"]) & (got["m"] == shown["m"]) & (got["d"] == shown["d"])
+        bare = F.least(width["d"], width["m"]) == 1
+        write = {"y": F.when(width["y"] == 2, F.substring(number["y"], -2, 2)).otherwise(number["y"])}
+        for k in "md":
+            write[k] = F.when(bare, F.regexp_replace(number[k], "^0+", "")).otherwise(number[k])
+        text = F.concat(write[order[0]], part(2), write[order[1]], part(4), write[order[2]], part(6))
+        out = F.coalesce(out, F.when(s.rlike(form) & iso.rlike(r"^\d{4}-\d{2}-\d{2}$") & same, text))
     return out
 
 

@@ -153,7 +153,7 @@ def normalize(u: Column, keep_query: bool = False) -> Column:
 
 def identity(u: Column, pattern: Column, keep_query: bool = False) -> Column:
     """The part a row's own pattern names, letters and digits only after '#'; else the comparison key."""
-    part = F.when(pattern.isNotNull(), F.regexp_extract(u, pattern, 1))
+    part = F.when(pattern.isNotNull(), F.call_function("regexp_extract", u, pattern, F.lit(1)))
     return F.when(part != "", F.concat(F.lit("#"), F.regexp_replace(F.lower(part), "[^a-z0-9]", ""))).otherwise(normalize(u, keep_query))
 
 

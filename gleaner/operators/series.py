@@ -7,7 +7,7 @@ before the shuffle and joined back; no series is collected or sorted.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import periods
@@ -19,8 +19,8 @@ MAX_GROUP, MAX_GROUPS = 40, 25
 
 def with_series(docs: DataFrame, url: str = "url", name: str = "name") -> DataFrame:
     """``docs`` and their period, series, skeleton, order shape and order values."""
-    d = periods.with_order(periods.with_keys(periods.with_identity(docs, url, name)))
-    return periods.with_period(d, F.concat_ws(" ", name, url)).drop("ident_text", "ident_ext")
+    d = periods.with_names(docs, url, name)
+    return d.withColumn("period", periods.period_of(F.concat_ws(" ", name, url))).drop("ident_text", "ident_ext")
 
 
 def mark_latest(docs: DataFrame, scope: list[str], published: str = "published") -> DataFrame:
@@ -43,14 +43,16 @@ def mark_latest(docs: DataFrame, scope: list[str], published: str = "published")
     return joined.withColumn("latest", latest).drop("__low", "__high", "__top", "__n", "__dated", "__newest")
 
 
-def doubtful_groups(docs: DataFrame, scope: list[str], order: str) -> DataFrame:
-    """(scope.., skeleton, size, first): look-alikes that code did not order as one series, in order of appearance."""
+def doubtful_groups(docs: DataFrame, scope: list[str], order: str, limit: int = MAX_GROUPS) -> DataFrame:
+    """(scope.., skeleton, size, first, rank): look-alikes that code did not order as one series, the first ``limit`` per scope to appear."""
     open_ = docs.where((F.coalesce("verdict", F.lit("")) != "rejected") & (F.coalesce("latest", F.lit(True))))
     g = open_.groupBy(*scope, "skeleton").agg(
         F.count("*").alias("size"), F.min(order).alias("first"), F.min("series_key").alias("__a"), F.max("series_key").alias("__b"), F.count_if(F.col("latest")).alias("__sure"),
     )
     settled = (F.col("__a") == F.col("__b")) & (F.col("__sure") == F.col("size"))
-    return g.where(F.col("size").between(2, MAX_GROUP) & ~settled).drop("__a", "__b", "__sure")
+    g = g.where(F.col("size").between(2, MAX_GROUP) & ~settled).drop("__a", "__b", "__sure")
+    rank = F.row_number().over(Window.partitionBy(*scope).orderBy("first", "skeleton"))  # the limit is pushed before the shuffle
+    return g.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
 def refine_latest(docs: DataFrame, scope: list[str], key: str, group_answers: DataFrame, older_answers: DataFrame, at: float = SUPERSEDED_AT) -> DataFrame:

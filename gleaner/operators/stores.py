@@ -69,10 +69,11 @@ def health(runs: DataFrame, key: str = "program_key", order: str = "run_no") ->
     return runs.withColumn("health", state)
 
 
-def may_retry(attempts: DataFrame, key: str, at: str, hours: float = HOLD_BACK_HOURS) -> DataFrame:
-    """``attempts`` with whether each comes long enough after the one before."""
-    gap = F.unix_seconds(at) - F.unix_seconds(F.lag(at).over(Window.partitionBy(key).orderBy(at)))
-    return attempts.withColumn("allowed", F.coalesce(gap >= hours * 3600, F.lit(True)))
+def may_retry(attempts: DataFrame, key: str, at: str, hours: float = HOLD_BACK_HOURS, tie: str | None = None) -> DataFrame:
+    """``attempts`` with whether each comes long enough after the one before; ``tie`` orders attempts of one time."""
+    before = F.lag(at).over(Window.partitionBy(key).orderBy(at, *([tie] if tie else [])))
+    gap = F.unix_micros(at) - F.unix_micros(before)
+    return attempts.withColumn("allowed", F.coalesce(gap >= hours * 3_600_000_000, F.lit(True)))
 
 
 def upsert(store: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,14 +87,3 @@ def clearance(hosts: DataFrame, cookies: DataFrame, now: Column) -> DataFrame:
     ends = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, 100), "."))).alias("domain"))
     live = cookies.where(F.col("expires") > now).select(F.regexp_replace("domain", r"^\.", "").alias("domain"), "cookie")
     return ends.join(live, "domain").select("host", "cookie").distinct()
-
-
-def safe_hosts(urls_: DataFrame, resolved: DataFrame, robots: DataFrame) -> DataFrame:
-    """``urls_`` (url, host, path) that may be crawled: every recorded address public, and no robots rule against the path."""
-    private = r"^(10\.|127\.|0\.|169\.254\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|22[4-9]\.|2[3-5]\d\.|::1$|f[cde]|fe80)"
-    open_ = resolved.where((F.size("addrs") > 0) & F.forall("addrs", lambda a: ~F.lower(a).rlike(private))).select("host").distinct()
-    local = r"^localhost$|\.(local|localhost|internal|lan|home|corp)$"
-    d = urls_.where(F.col("url").rlike("^(?i)https?://") & ~F.lower("host").rlike(local)).join(open_, "host", "left_semi")
-    rules = robots.groupBy("host").agg(F.collect_list(F.struct(F.length("prefix").alias("n"), "allow", "prefix")).alias("__rules"))  # a robots file is short
-    hit = F.array_max(F.filter("__rules", lambda r: F.col("path").startswith(r["prefix"])))
-    return d.join(rules, "host", "left").withColumn("__hit", hit).where(F.col("__hit").isNull() | F.col("__hit.allow")).drop("__rules", "__hit")

@@ -18,6 +18,17 @@ def page_links(pages: DataFrame) -> DataFrame:
     return d.select("page_id", "site", "page_url", "page_kind", "crawl_id", "ord", "l.*")
 
 
+def returned(docs: DataFrame, include_rejected: bool = False) -> DataFrame:
+    """Documents that a caller gets: all but the rejected ones, unless asked for; a null verdict is not rejected."""
+    return docs if include_rejected else docs.where(F.coalesce("verdict", F.lit("")) != "rejected")
+
+
+def rejected_counts(docs: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope.., returned, rejected): what :func:`returned` keeps and leaves out."""
+    gone = F.coalesce("verdict", F.lit("")) == "rejected"
+    return docs.groupBy(*scope).agg(F.count_if(~gone).alias("returned"), F.count_if(gone).alias("rejected"))
+
+
 def discover(pages: DataFrame, terms: Column, judge: Judge | None = None, latest: bool = False, include_rejected: bool = False) -> DataFrame:
     """The documents of recorded pages in result form, per crawl.
 
@@ -34,11 +45,10 @@ def discover(pages: DataFrame, terms: Column, judge: Judge | None = None, latest
     docs = judged(docs, judge or rule_judge(terms))
     docs = with_series(docs).withColumn("published", periods.date_of(F.concat_ws(" ", "dated_by", "context")))
     docs = mark_latest(docs, ["crawl_id"])
-    docs = periods.with_year(docs, F.concat_ws(" ", "dated_by", "name", "context", "url"))
+    docs = docs.withColumn("year", periods.year_of(F.concat_ws(" ", "dated_by", "name", "context", "url")))
     docs = docs.withColumns({
         "series": F.col("series_key"), "latest_in_series": F.col("latest"),
         "reason": F.lit(""), "source": F.lit("page"),
     })
-    if not include_rejected:
-        docs = docs.where("verdict <> 'rejected'")
+    docs = returned(docs, include_rejected)
     return (apply_latest(docs, include_rejected) if latest else docs).select("crawl_id", *RESULT)

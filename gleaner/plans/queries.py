@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import periods, texts, urls
 from gleaner.operators import evaluation, judging, links, ranking, series, stores, traces
 from gleaner.plans import discover as plan
-from gleaner.plans import programs
+from gleaner.plans import goals, programs
 from gleaner.session import table
 from gleaner.sources import html, structured
 from gleaner.streaming import events as stream
@@ -83,15 +83,14 @@ _SCALARS: dict[str, tuple[Callable[[], Column], str | None]] = {
     ),
     "t7_clean_text": (lambda: texts.clean(F.col("context")), r"regexp_replace(context, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g')"),
     "t8_injection_flag": (lambda: texts.is_instruction(F.col("context")), f"regexp_matches(coalesce(context, ''), '{texts.INJECTION}')"),
-    "t9_weakly_named": (lambda: texts.is_weakly_named(F.col("name")), r"len([x for x in string_split_regex(regexp_replace(coalesce(name, ''), '[^ -~\n\t]', '', 'g'), '\s+') if x <> '']) < 4 AND NOT regexp_matches(regexp_replace(coalesce(name, ''), '[^ -~\n\t]', '', 'g'), '\d')"),
+    "t9_weakly_named": (lambda: texts.is_weakly_named(F.col("name")), r"len([x for x in string_split_regex(coalesce(name, ''), '[\s\p{Z}\x{85}\x{1c}-\x{1f}\x{0b}]+') if x <> '']) < 4 AND NOT regexp_matches(coalesce(name, ''), '\p{Nd}')"),
     "t17_verdict": (lambda: texts.verdict(F.col("relevance")), "CASE WHEN relevance IS NULL THEN 'unscored' WHEN relevance >= 0.75 THEN 'accepted' WHEN relevance < 0.4 THEN 'rejected' ELSE 'unsure' END"),
-    "t28_chrome_path": (lambda: texts.is_chrome_path(F.col("section")), "regexp_matches(coalesce(section, ''), '(^|[/>])(nav|header|footer|aside)([./>]|$)')"),
     "t2_date": (lambda: periods.date_of(F.concat_ws(" ", "dated", "context")), None),
     "t5_names_goal_year": (lambda: texts.names_goal_year(F.col("name"), F.col("u"), texts.goal_years(F.lit("reports 2020 to 2023"))), None),
     "t10_link_state": (lambda: texts.link_state(F.col("cand_id").cast("string"), F.col("name"), F.col("u"), F.col("context"), F.col("section"), F.col("col_label")), None),
 }
 # Those that take no url: they have a value for candidates without one, too.
-_NO_URL = {"t2_date", "t7_clean_text", "t8_injection_flag", "t9_weakly_named", "t17_verdict", "t28_chrome_path", "u21_start_url", "u23_pattern_domain"}
+_NO_URL = {"t2_date", "t7_clean_text", "t8_injection_flag", "t9_weakly_named", "t17_verdict", "u21_start_url", "u23_pattern_domain"}
 for _name, (_f, _sql) in _SCALARS.items():
 
     def _scalar(spark: SparkSession, folder: str, f=_f, read=_rows if _name in _NO_URL else _candidates) -> DataFrame:
@@ -99,41 +98,41 @@ for _name, (_f, _sql) in _SCALARS.items():
 
     QUERIES[_name] = _scalar
     if _sql:
-        SQL[_name] = f"SELECT cand_id, {_sql} AS value FROM {_B}"
+        SQL[_name] = f"SELECT cand_id, {_sql} AS value FROM {_B if _name not in _NO_URL else 'candidates'}"
 
 
-def _identified(spark: SparkSession, folder: str) -> DataFrame:
-    return periods.with_identity(_candidates(spark, folder).select("cand_id", "u", "name"), "u", "name")
+def _named(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.with_names(_candidates(spark, folder).select("cand_id", "u", "name"), "u", "name")
 
 
 @query()
 def t1_period(spark, folder):
-    return periods.with_period(_candidates(spark, folder), F.concat_ws(" ", "name", "u"), "value").select("cand_id", "value")
+    return _candidates(spark, folder).select("cand_id", periods.period_of(F.concat_ws(" ", "name", "u")).alias("value"))
 
 
 @query()
 def t3_year(spark, folder):
-    return periods.with_year(_rows(spark, folder), F.concat_ws(" ", "dated", "name", "context", "u"), "value").select("cand_id", "value")
+    return _rows(spark, folder).select("cand_id", periods.year_of(F.concat_ws(" ", "dated", "name", "context", "u")).alias("value"))
 
 
 @query()
 def t12_identity(spark, folder):
-    return _identified(spark, folder).select("cand_id", F.col("ident_text").alias("value"), "ident_ext")
+    return _named(spark, folder).select("cand_id", F.col("ident_text").alias("value"), "ident_ext")
 
 
 @query()
 def t14_series_key(spark, folder):
-    return periods.with_keys(_identified(spark, folder)).select("cand_id", F.col("series_key").alias("value"))
+    return _named(spark, folder).select("cand_id", F.col("series_key").alias("value"))
 
 
 @query()
 def t15_order_of(spark, folder):
-    return periods.with_order(_identified(spark, folder)).select("cand_id", "shape", F.to_json("order_values").alias("value"))
+    return _named(spark, folder).select("cand_id", "shape", F.to_json("order_values").alias("value"))
 
 
 @query()
 def t16_skeleton(spark, folder):
-    return periods.with_keys(_identified(spark, folder)).select("cand_id", F.col("skeleton").alias("value"))
+    return _named(spark, folder).select("cand_id", F.col("skeleton").alias("value"))
 
 
 @query()
@@ -194,10 +193,22 @@ def a2_path_sample(spark, folder):
     return ranking.path_sample(d, ["site"], "entry_id")
 
 
-@query()
+@query(rf"""
+WITH q AS (SELECT cand_id, u, split_part(u, '?', 1) AS page_url, [x for x in string_split({_QUERY}, '&') if x <> ''] AS pairs FROM {_B} WHERE contains(u, '?') AND NOT contains(u, '#')),
+o AS (SELECT *, split_part(pairs[1], '=', 1) AS k, pairs[1][strpos(pairs[1], '=') + 1:] AS v FROM q WHERE len(pairs) = 1 AND contains(pairs[1], '='))
+SELECT page_url, regexp_replace(k, '\[\d*\]', '[]') AS facet, count(*) AS n FROM o
+WHERE v <> '' AND (contains(k, '[') OR regexp_matches(lower(k), 'issuer|filter|facet|categor|kategor|type|typ\b|date_?from|date_?to|\bsearch\b|query|\bq\b|keyword|lang\b|locale|view\b'))
+  AND NOT regexp_matches(lower(k), '(^|_)(cur|delta|page|pagina|seite|oldal|start|offset|limit|sort|order|orderby|resetcur|redirect|p_p_\w+|__c\w+|__canz|__cselect)$')
+GROUP BY 1, 2 HAVING count(*) >= 3""")
 def a3_facet_groups(spark, folder):
-    pages = plan.page_links(table(spark, folder, "pages"))
-    return links.facet_groups(pages.withColumn("page_url", F.substring_index("url", "?", 1)), "page_url", "ord")
+    # every candidate stands on the listing that its url is without its query
+    d = _candidates(spark, folder).where("instr(u, '?') > 0 and instr(u, '#') = 0").select("cand_id", F.col("u").alias("url"), F.substring_index("u", "?", 1).alias("page_url"))
+    return links.facet_groups(d, "page_url", "cand_id").drop("urls")
+
+
+@query(f"SELECT page_id, ord::INT AS ord, coalesce(regexp_matches(l.path, '(^|[/>])(nav|header|footer|aside)([./>]|$)'), false) AS value FROM {_LINKS}")
+def t28_chrome_path(spark, folder):
+    return plan.page_links(table(spark, folder, "pages")).select("page_id", "ord", texts.is_chrome_path(F.col("path")).alias("value"))
 
 
 @query(f"""
@@ -472,13 +483,10 @@ def st5_health_fsm(spark, folder):
     return stores.health(d, "program_key", "snapshot_no").select("program_key", "snapshot_no", "health")
 
 
-@query("SELECT event_id, coalesce(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) >= 86400, true) AS allowed FROM events")
+@query("SELECT event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) >= 86400000000, true) AS allowed FROM events")
 def st6_holdback(spark, folder):
     d = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    from pyspark.sql import Window
-
-    gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return d.select("event_id", F.coalesce(gap >= stores.HOLD_BACK_HOURS * 3_600_000_000, F.lit(True)).alias("allowed"))
+    return stores.may_retry(d, "user_id", "ts", tie="event_id").select("event_id", "allowed")
 
 
 def _learned(spark: SparkSession, folder: str) -> DataFrame:
@@ -536,7 +544,8 @@ def m7_breaker(spark, folder):
 @query(r"""
 WITH a AS (SELECT page_id, generate_subscripts(m, 1) - 1 AS ord, unnest(m) AS x FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>') AS m FROM pages)),
 h AS (SELECT page_id, ord, split_part(trim(regexp_extract(x, '(?is)href="([^"]*)"', 1)), '#', 1) AS h, trim(regexp_replace(regexp_replace(regexp_extract(x, '(?is)>(.*)</a>$', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS t FROM a)
-SELECT page_id, ord::INT AS ord, h AS url, CASE WHEN t <> '' THEN t ELSE string_split(regexp_replace(regexp_extract(h, '^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1), '/+$', ''), '/')[-1] END AS name FROM h WHERE h <> '' AND NOT starts_with(lower(h), 'javascript:')""")
+SELECT page_id, ord::INT AS ord, h AS url, CASE WHEN t <> '' THEN t ELSE split_part(string_split(h, '/')[-1], '?', 1) END AS name,
+  regexp_matches(regexp_extract(h, '^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1), '(?i)\.(pdf|xlsx|xls|docx|doc|csv|pptx|zip)$') AS is_document FROM h WHERE h <> '' AND NOT starts_with(lower(h), 'javascript:')""")
 def sc9_static_links(spark, folder):
     return html.static_links(table(spark, folder, "pages"))
 
@@ -567,11 +576,13 @@ def sc2_sitemap_parse(spark, folder):
     return structured.sitemap_rows(_sitemap_files(spark, folder)).select("file_url", "loc", "lastmod")
 
 
-@query(r"SELECT program_key, snapshot_no, meta->>'start_url' AS path, '' AS name FROM program_snapshots WHERE length(meta->>'start_url') >= 8")
+@query(rf"""
+SELECT page_id, l.url AS path, CASE WHEN coalesce(trim(l.name), '') <> '' THEN left(trim(l.name), 200) ELSE left(trim(coalesce(l.col_label, '')), 200) END AS name FROM {_LINKS}
+WHERE l.url IS NOT NULL AND length(trim(l.url)) BETWEEN 8 AND 2000 AND NOT contains(left(l.url, 8), ' ') AND NOT regexp_matches(l.url, '(?i)\.(jpe?g|png|gif|svg|webp|ico|css|js|json|xml|html?|woff2?|ttf|mp4|mp3)(\?|$)') AND regexp_matches(l.url, '^(https?://|/)')""")
 def sc12_json_records(spark, folder):
-    d = table(spark, folder, "program_snapshots").select(F.concat_ws("|", "program_key", "snapshot_no").alias("k"), F.col("meta").alias("body"))
-    r = structured.json_records(d, "k")
-    return r.select(F.substring_index("k", "|", 1).alias("program_key"), F.substring_index("k", "|", -1).cast("int").alias("snapshot_no"), "path", "name")
+    # the recorded links of each page as one JSON body
+    d = table(spark, folder, "pages").select("page_id", F.to_json(F.struct(F.col("page_links").alias("items"))).alias("body"))
+    return structured.json_records(d, "page_id").select("page_id", "path", "name")
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
@@ -640,9 +651,11 @@ def fp11_goal_year_filter(spark, folder):
     return traces.for_year(d, "year", "2024").select("cand_id")
 
 
-@query("SELECT cand_id FROM candidates WHERE verdict <> 'rejected'")
+@query("SELECT crawl_id, count(*) FILTER (coalesce(verdict, '') <> 'rejected') AS returned, count(*) FILTER (verdict = 'rejected') AS rejected FROM candidates GROUP BY 1")
 def fp12_returned(spark, folder):
-    return table(spark, folder, "candidates").where("verdict <> 'rejected'").select("cand_id")
+    c = table(spark, folder, "candidates")
+    kept = plan.returned(c).groupBy("crawl_id").agg(F.count("*").alias("__kept"))
+    return plan.rejected_counts(c, ["crawl_id"]).join(kept, "crawl_id", "left").select("crawl_id", F.coalesce("__kept", F.lit(0)).alias("returned"), "rejected")
 
 
 @query("""
@@ -652,17 +665,29 @@ def w13_hold_open(spark, folder):
     return traces.hold_open(q, ["crawl_id"])
 
 
-@query("SELECT cand_id, CASE WHEN (SELECT count(*) FROM candidates) > 0 THEN relevance END AS relevance, ord FROM (SELECT cand_id, relevance, row_number() OVER (PARTITION BY crawl_id ORDER BY cand_id)::INT AS ord FROM candidates)")
+@query("""
+WITH i AS (SELECT cand_id, crawl_id, row_number() OVER (PARTITION BY crawl_id ORDER BY cand_id)::INT AS ord FROM candidates),
+a AS (SELECT crawl_id, relevance, row_number() OVER (PARTITION BY crawl_id ORDER BY found_at, cand_id)::INT AS ord FROM candidates WHERE verdict = 'accepted')
+SELECT cand_id, i.ord, relevance FROM i LEFT JOIN a ON a.crawl_id = i.crawl_id AND a.ord = i.ord""")
 def j1_zip_answers(spark, folder):
-    c = traces.page_numbers(table(spark, folder, "candidates"), ["crawl_id"], "cand_id").withColumnRenamed("page_no", "ord")
-    return traces.zipped(c.select("crawl_id", "ord", "cand_id"), c.select("crawl_id", "ord", "relevance"), ["crawl_id"]).select("cand_id", "relevance", "ord")
+    # answers came in the order of finding, and only for accepted ones: the last items of a crawl have none
+    c = table(spark, folder, "candidates")
+    items = traces.page_numbers(c.select("crawl_id", "cand_id"), ["crawl_id"], "cand_id").withColumnRenamed("page_no", "ord")
+    said = c.where("verdict = 'accepted'").select("crawl_id", "relevance", F.struct("found_at", "cand_id").alias("o"))
+    answers = traces.page_numbers(said, ["crawl_id"], "o").select("crawl_id", "relevance", F.col("page_no").alias("ord"))
+    return traces.zipped(items, answers, ["crawl_id"]).select("cand_id", "ord", "relevance")
 
 
-@query("SELECT user_id, event_id, stale >= 12 AND n / 40 >= 0.5 AS stop FROM (SELECT user_id, event_id, n, sum(1 - p) OVER (PARTITION BY user_id, g ORDER BY o) AS stale FROM (SELECT *, row_number() OVER w AS n, sum(p) OVER w AS g FROM (SELECT *, (event_type = 'purchase')::INT AS p FROM " + _E + ") WINDOW w AS (PARTITION BY user_id ORDER BY o)))")
+@query("""
+WITH e AS (SELECT *, epoch_us(ts) * 1000 + event_id % 1000 AS o, (event_type = 'purchase')::INT AS p, epoch(ts) AS t FROM events), n AS (SELECT *, row_number() OVER w AS n, sum(p) OVER w AS g, t - min(t) OVER (PARTITION BY user_id) AS spent FROM e WINDOW w AS (PARTITION BY user_id ORDER BY o)),
+s AS (SELECT *, sum(1 - p) OVER (PARTITION BY user_id, g ORDER BY o) AS stale FROM n)
+SELECT user_id, event_id, stale >= 12 AND greatest(n / 40, spent / 1728000) >= 0.5 AS stop FROM s""")
 def fp19_no_progress(spark, folder):
     d = traces.page_numbers(_events(spark, folder), ["user_id"], "o")
     d = ranking.stale_runs(d, ["user_id"], "o", F.col("event_type") == "purchase")
-    return d.select("user_id", "event_id", ranking.should_stop(F.col("stale"), F.col("page_no"), F.lit(40), F.lit(0), F.lit(100)).alias("stop"))
+    second = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
+    d = d.withColumn("spent", second - F.min(second).over(Window.partitionBy("user_id")))
+    return d.select("user_id", "event_id", ranking.should_stop(F.col("stale"), F.col("page_no"), F.lit(40), F.col("spent"), F.lit(1_728_000)).alias("stop"))
 
 
 @query("""
@@ -685,20 +710,96 @@ def discover(fetch, render):
 
 @query()
 def x1_program_udtf(spark, folder):
-    # a program for every recorded page; a task gets about 32 of a site, the last recording of their pages and of those they link, and no others
-    pages = table(spark, folder, "pages").where("url is not null").groupBy("site", "url").agg(F.max_by(F.struct("html", F.col("page_links.url").alias("to")), "page_id").alias("p"))
-    parts = pages.groupBy("site").agg(F.ceil(F.count("*") / 32).alias("parts"))
-    part = F.concat_ws("#", "site", F.pmod(F.xxhash64("url"), "parts").cast("string"))
-    start = pages.join(parts, "site").select("site", F.col("url").alias("start"), "p.to", part.alias("part"))
-    reach = start.select("site", "part", F.explode(F.array_union(F.array("start"), F.coalesce("to", F.array().cast("array<string>")))).alias("url")).distinct()
-    held = reach.join(pages.select("site", "url", "p.html"), ["site", "url"]).select(F.col("part").alias("site"), "url", "html")
-    key = urls.program_key(F.col("start"), F.concat(F.lit("reports of "), "start"))
-    quoted = F.replace(F.replace(F.col("start"), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    # a program for every recorded page, over the last recording of the pages it can reach
+    pages = table(spark, folder, "pages").where("url is not null").groupBy("site", "url").agg(F.max_by(F.struct("html", F.col("page_links.url").alias("to")), "page_id").alias("p")).select("site", "url", "p.*")
+    key = urls.program_key(F.col("url"), F.concat(F.lit("reports of "), "url"))
+    quoted = F.replace(F.replace(F.col("url"), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
     code = F.concat(F.lit("START = '"), quoted, F.lit("'\n"), F.lit(_PROGRAM))
-    saved = start.select(F.col("part").alias("site"), key.alias("program_key"), code.alias("code"))
+    saved, held = programs.split(pages.select("site", F.col("url").alias("start"), key.alias("program_key"), code.alias("code")), pages)
     return programs.run_programs(saved, held).select("program_key", "url", "name", F.col("error").isNotNull().alias("failed"))
 
 
 @query()
 def discover_documents(spark, folder):
     return plan.discover(table(spark, folder, "pages"), F.array(*[F.lit(t) for t in ("report", "2024", "jelent")]))
+
+
+@query(r"""
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
+def sc28_visible_text(spark, folder):
+    return table(spark, folder, "pages").select("page_id", html.visible_text("html").alias("text"))
+
+
+@query(r"""
+WITH t AS (SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS n, length(array_to_string(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1), '')) AS k FROM pages)
+SELECT page_id, n < 300 OR (k > 3 * n AND n < 1000) AS shell FROM t""")
+def t24_shell_pages(spark, folder):
+    return table(spark, folder, "pages").select("page_id", texts.script_shell(F.col("html")).alias("shell"))
+
+
+@query(f"""
+WITH k AS (SELECT crawl_id, url, min(page_kind) AS kind FROM pages WHERE page_kind IS NOT NULL GROUP BY 1, 2)
+SELECT p.page_id, p.ord::INT AS ord, coalesce(k.kind, 'other') AS kind, (CASE WHEN k.kind IS NULL THEN 0 ELSE 1 END)::DOUBLE AS probability FROM {_LINKS} p LEFT JOIN k ON k.crawl_id = p.crawl_id AND k.url = p.l.url""")
+def j2_link_kinds(spark, folder):
+    pages = table(spark, folder, "pages")
+    kinds = pages.where("page_kind is not null").groupBy(F.concat_ws("|", "crawl_id", "url").alias("k")).agg(F.min("page_kind").alias("kind")).withColumn("probability", F.lit(1.0))
+    d = plan.page_links(pages).select("page_id", "ord", F.concat_ws("|", "crawl_id", "url").alias("k"))
+    return judging.known_kinds(d, kinds, "k").select("page_id", "ord", "kind", "probability")
+
+
+@query("""
+SELECT c.domain, c.goal, p.url_patterns_prefer AS prefer, p.url_patterns_skip AS skip FROM (SELECT domain, CASE WHEN hash_even THEN last_goal ELSE 'another goal' END AS goal FROM (SELECT *, length(domain) % 2 = 0 AS hash_even FROM domain_patterns)) c
+LEFT JOIN (SELECT * FROM domain_patterns WHERE len(url_patterns_prefer) > 0 OR len(url_patterns_skip) > 0) p ON p.domain = c.domain AND p.last_goal = c.goal""")
+def j15_path_plan(spark, folder):
+    known = table(spark, folder, "domain_patterns")
+    crawls = known.select("domain", F.when(F.length("domain") % 2 == 0, F.col("last_goal")).otherwise("another goal").alias("goal"))
+    return stores.path_plan(crawls, known).select("domain", "goal", F.col("url_patterns_prefer").alias("prefer"), F.col("url_patterns_skip").alias("skip"))
+
+
+@query("SELECT domain, len(list_distinct(list_concat(coalesce(url_patterns_prefer, []), ['/reports/'], coalesce(url_patterns_skip, [])))) AS n FROM domain_patterns")
+def s7_combined_patterns(spark, folder):
+    both = goals.combined_patterns(F.concat(F.coalesce("url_patterns_prefer", F.array().cast("array<string>")), F.array(F.lit("/reports/"))), F.col("url_patterns_skip"))
+    return table(spark, folder, "domain_patterns").select("domain", F.size(both).alias("n"))
+
+
+@query(f"""
+WITH h AS (SELECT DISTINCT site, {_PATH} AS path, source FROM {_B})
+SELECT DISTINCT site, '/' || split_part(path, '/', 2) AS prefix FROM h WHERE source IN ('page', 'api')""")
+def s4_prefix_memory(spark, folder):
+    c = _candidates(spark, folder).select("site", "source", F.concat(F.lit("/"), F.get(F.split(urls.path(F.col("u")), "/"), 1)).alias("prefix"))
+    c = c.withColumn("prefix", F.coalesce("prefix", F.lit("/")))
+    return goals.union_prefixes(c.where("source = 'page'"), c.where("source = 'api'"), ["site"])
+
+
+@query("SELECT event_type, count(value) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1")
+def a21_latencies(spark, folder):
+    return goals.latencies(table(spark, folder, "events"), ["event_type"], "value")
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
+def a13_event_counts(spark, folder):
+    d = goals.counted(table(spark, folder, "events"), ["user_id"], "event_type")
+    of = lambda k: F.coalesce(F.col("counts")[k], F.lit(0)).alias(f"{k}s")
+    return d.select("user_id", of("click"), of("error"))
+
+
+@query("""
+WITH a AS (SELECT site, source, avg(relevance) AS s FROM candidates GROUP BY 1, 2)
+SELECT count(*) AS pairs, round(avg(y.s - x.s), 6) AS shift FROM a x JOIN a y ON x.site = y.site WHERE x.source = 'page' AND y.source = 'agent' AND x.s IS NOT NULL AND y.s IS NOT NULL""")
+def m13_arm_shift(spark, folder):
+    d = table(spark, folder, "candidates").groupBy("site", F.col("source").alias("arm")).agg(F.avg("relevance").alias("score")).where("score is not null")
+    return evaluation.arm_shift(d, ["site"], "page", "agent")
+
+
+@query(f"SELECT cand_id, regexp_replace(split_part(x, '=', 1), '\\[\\d*\\]', '[]') AS facet FROM (SELECT cand_id, unnest(string_split({_QUERY}, '&')) AS x FROM {_B}) WHERE x <> '' AND NOT regexp_matches(split_part(x, '=', 1), '[%+]')")
+def u5_facet_keys(spark, folder):
+    d = _candidates(spark, folder).select("cand_id", F.explode(urls.pairs(F.col("u"))).alias("p"))
+    return d.where(~F.col("p.k").rlike("[%+ ]")).select("cand_id", urls.facet_key(F.col("p.k")).alias("facet"))
+
+
+@query("""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY crawl_id ORDER BY found_at DESC, cand_id DESC) AS back FROM candidates WHERE site IS NOT NULL)
+SELECT crawl_id, count(*) AS requests, sum(length(coalesce(context, '')))::BIGINT AS tokens, round(sum(length(coalesce(context, ''))) * 4.0 / 1000000, 6)::DOUBLE AS cost FROM r GROUP BY 1""")
+def m15_crawl_cost(spark, folder):
+    d = table(spark, folder, "candidates").where("site is not null").groupBy("crawl_id").agg(F.count("*").alias("requests"), F.sum(F.length(F.coalesce("context", F.lit("")))).alias("tokens"))
+    return d.withColumn("cost", texts.cost_usd(F.col("tokens"), 4.0).cast("double"))

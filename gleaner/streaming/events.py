@@ -17,10 +17,13 @@ def read_events(spark, folder: str, schema: str, files_per_trigger: int = 100) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def first_seen(events: DataFrame, keys: list[str], at: str, delay: str = DEFAULT_DELAY) -> DataFrame:
-    """The first event of each key; state older than the delay is dropped (a plain batch keeps all)."""
+def first_seen(events: DataFrame, keys: list[str], at: str, within: str | None = None) -> DataFrame:
+    """The first event of each key of the whole crawl; state is kept by the query as long as it lives.
+
+    With ``within`` a stream forgets keys that long after their time (a bound on state, for keys that do not come again).
+    """
     if events.isStreaming:
-        return events.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+        return events.withWatermark(at, within).dropDuplicatesWithinWatermark(keys) if within else events.dropDuplicates(keys)
     rest = [c for c in events.columns if c not in keys]
     return events.groupBy(*keys).agg(F.min_by(F.struct(*rest), at).alias("__r")).select(*keys, "__r.*")
 
@@ -37,14 +40,21 @@ def sessions(events: DataFrame, at: str, by: str, gap: str = "30 minutes", delay
     return d.groupBy(F.session_window(at, gap).alias("w"), by).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def stale_pages(events: DataFrame, key: str = "crawl_id") -> DataFrame:
-    """Running state per crawl over its page events (crawl_id, accepted): pages, accepted, pages since the last accepted one."""
+def stale_pages(events: DataFrame, key: str = "crawl_id", at: str | None = None) -> DataFrame:
+    """Running state per crawl over its page events (crawl_id, accepted[, at]): pages, accepted, pages since the last accepted one.
+
+    Events of a batch count in the order of ``at``; those of an earlier batch come before.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pages, accepted, stale = state.get if state.exists else (0, 0, 0)
-        for pdf in batches:
-            for n in pdf["accepted"]:
-                pages, accepted, stale = pages + 1, accepted + int(n), 0 if n else stale + 1
+        rows = pd.concat(list(batches))
+        if at:
+            rows = rows.sort_values(at, kind="stable")
+        gains = rows["accepted"].fillna(0).to_numpy()
+        paid = gains.nonzero()[0]
+        stale = len(gains) - 1 - int(paid[-1]) if len(paid) else stale + len(gains)
+        pages, accepted = pages + len(gains), accepted + int(gains.sum())
         state.update((pages, accepted, stale))
         yield pd.DataFrame([(k[0], pages, accepted, stale)], columns=[key, "pages", "accepted", "stale"])
 
@@ -60,3 +70,22 @@ def to_store(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpo
 def server_events(events: DataFrame) -> DataFrame:
     """Events as server-sent text, in order; element dumps are not sent."""
     return events.where("type <> 'page_elements'").select(F.concat(F.lit("event: "), "type", F.lit("\ndata: "), F.to_json(F.struct("*")), F.lit("\n\n")).alias("text"))
+
+
+def framed_events(events: DataFrame, config: str, idle_ms: int = 1000) -> DataFrame:
+    """(crawl_id, ord, text): what a client of each crawl is sent: the configuration, each event, a heartbeat for each full
+    ``idle_ms`` without one, and the end.  ``events``: crawl_id, ord, at_ms, type, data (JSON)."""
+    from pyspark.sql import Window
+
+    say = lambda kind, data: F.concat(F.lit("event: "), kind, F.lit("\ndata: "), data, F.lit("\n\n"))
+    w = Window.partitionBy("crawl_id").orderBy("ord")
+    d = events.where("type <> 'page_elements'")
+    beats = F.greatest(F.floor((F.col("at_ms") - F.lag("at_ms").over(w)) / idle_ms), F.lit(0))
+    d = d.withColumn("__beats", F.coalesce(beats, F.lit(0)))
+    told = d.select("crawl_id", "ord", F.lit(1).alias("__k"), say(F.col("type"), F.col("data")).alias("text"))
+    idle = d.where("__beats > 0").select("crawl_id", "ord", F.lit(0).alias("__k"), F.explode(F.array_repeat(say(F.lit("heartbeat"), F.lit("{}")), F.col("__beats").cast("int"))).alias("text"))
+    ends = events.groupBy("crawl_id").agg(F.min("ord").alias("a"), F.max("ord").alias("b"))
+    head = ends.select("crawl_id", (F.col("a") - 1).alias("ord"), F.lit(0).alias("__k"), say(F.lit("config"), F.lit(config)).alias("text"))
+    tail = ends.select("crawl_id", (F.col("b") + 1).alias("ord"), F.lit(0).alias("__k"), say(F.lit("done"), F.lit("{}")).alias("text"))
+    every = told.unionByName(idle).unionByName(head).unionByName(tail)
+    return every.select("crawl_id", F.row_number().over(Window.partitionBy("crawl_id").orderBy("ord", "__k")).alias("ord"), "text")

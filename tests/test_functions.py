@@ -21,12 +21,22 @@ def test_dates_and_years(spark):
     cases = {"publicado el 12 de marzo de 2026": "2026-03-12", "31.02.2026": None, "03/12/2026": None, "x 31.02.2026 3.4.2026": "2026-04-03", "March 12, 2026": "2026-03-12"}
     assert values(spark, periods.date_of, list(cases)) == list(cases.values())
     d = spark.createDataFrame([("2022. május 12. HAT-450-7/2026.",), (None,)], "t string")
-    assert [r["year"] for r in periods.with_year(d, F.col("t")).collect()] == ["2022", None]
+    assert [r["year"] for r in d.select(periods.year_of(F.col("t")).alias("year")).collect()] == ["2022", None]
+
+
+def test_periods_by_tokens():
+    """The left side of a year is read the longest first, numbers of any script count, ranks decide before places."""
+    assert periods.period("25 March 2022 2017") == "2017-03" and periods.period("2024-05 and Q1 2023") == "2024-05"
+    assert periods.period("march 2020 to 2021-02") == "2021-02" and periods.period("x 2016/05") is None and periods.period("20260315") == "2026-03"
+    assert periods.without_periods("a 2026-03 b q1 2025 c") == "a   b   c" and periods.without_periods("") == ""
+    assert periods.read_name("https://x/", "Bericht ２０２４") == ("bericht ２０２４", "", "bericht-２０２４", "bericht", "y", ["2024"])
+    long = "word " * 50_000 + "march 2024"
+    assert periods.period(long) == "2024-03" and periods.date(long + " and 3. 4. 2025") == "2025-04-03"
 
 
 def test_series(spark):
     d = spark.createDataFrame([(1, "https://x/f/fund-a-factsheet-2026-03.pdf", ""), (2, "https://x/getfile.aspx?id=12", "Rapport 2025"), (3, "https://x/cm4-datasheet.pdf", None), (4, "", None)], "i int, u string, n string")
-    out = periods.with_order(periods.with_keys(periods.with_identity(d, "u", "n"))).orderBy("i").collect()
+    out = periods.with_names(d, "u", "n").orderBy("i").collect()
     assert [r["series_key"] for r in out] == ["fund-a-factsheet.pdf", "rapport", "cm4-datasheet.pdf", ""]
     assert [r["shape"] for r in out] == ["yn", "y", "n", ""]
 
@@ -61,7 +71,7 @@ def test_weakly_named_reads_the_raw_name(spark, tmp_path):
 def test_queries_without_url_keep_candidates_without_url(spark, tmp_path):
     row = "cand_id long, site string, url string, name string, context string, section string, dated string, relevance double"
     spark.createDataFrame([(1, "a.example", None, "Report", "read 3 May 2024", "body>nav>a", "2024-05-03", 0.8)], row).write.parquet(str(tmp_path / "candidates.parquet"))
-    want = {"t7_clean_text": "read 3 May 2024", "t8_injection_flag": False, "t9_weakly_named": True, "t17_verdict": "accepted", "t28_chrome_path": True, "u21_start_url": "https://www.a.example/", "u23_pattern_domain": "a.example"}
+    want = {"t7_clean_text": "read 3 May 2024", "t8_injection_flag": False, "t9_weakly_named": True, "t17_verdict": "accepted", "u21_start_url": "https://www.a.example/", "u23_pattern_domain": "a.example"}
     got = {n: [r["value"] for r in queries.QUERIES[n](spark, str(tmp_path)).collect()] for n in [*want, "t2_date", "t3_year", "u11_domain"]}
     assert got.pop("u11_domain") == [] and all(v != [None] and len(v) == 1 for v in (got.pop("t2_date"), got.pop("t3_year")))
     assert got == {n: [v] for n, v in want.items()}

@@ -89,7 +89,7 @@ def test_sitemap_walk(spark, rows):
     index = "<sitemapindex xmlns='x'><sitemap><loc>b</loc></sitemap><sitemap><loc>c</loc></sitemap><sitemap><loc>a</loc></sitemap></sitemapindex>"
     page = "<urlset><url><loc> https://p/{} </loc><lastmod>2026</lastmod></url><url><loc></loc></url></urlset>"
     f = spark.createDataFrame([("a", index), ("b", page.format(1)), ("c", page.format(1).replace("2026", "")), ("d", "<broken")], "url string, body string")
-    assert rows(structured.walk_sitemaps(f, spark.createDataFrame([("a",), ("zz",)], "url string"))) == [("a", "https://p/1", "2026")]
+    assert rows(structured.walk_sitemaps(f, spark.createDataFrame([("a",), ("zz",)], "url string")), "root", "url", "lastmod") == [("a", "https://p/1", "2026")]
 
 
 def test_harvest(spark):

@@ -1,11 +1,15 @@
+import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from gleaner import profiles, session
+from gleaner.engine import PATTERNS, Engine
 from gleaner.operators import traces
-from gleaner.plans import queries
+from gleaner.plans import programs, queries
 from gleaner.plans.discover import discover
-from gleaner.sources import sinks
+from gleaner.sources import runs, sinks
 
 LINK = "array<struct<url:string,name:string,context:string,section:string,col_label:string,path:string,dated:string,chrome:boolean>>"
 
@@ -37,10 +41,111 @@ def test_sinks(spark, tmp_path):
     lines = [x for f in (tmp_path / "csv").glob("*.csv") for x in f.read_text().splitlines()]
     assert lines[0] == ",".join(sinks.RESULT) and sum("report-2024" in x for x in lines) == 2
     assert sinks.as_json(docs).count() == 2
+
+
+def test_store_is_replaced_in_one_step(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    assert sinks.read_store(spark, folder, "k int, v string").count() == 0
     store = spark.createDataFrame([(1, "a")], "k int, v string")
-    sinks.write_store(store, str(tmp_path / "store"))
-    sinks.write_store(spark.read.parquet(str(tmp_path / "store")).unionByName(store), str(tmp_path / "store"))
-    assert spark.read.parquet(str(tmp_path / "store")).count() == 2
+    sinks.write_store(store, folder)
+    held = sinks.read_store(spark, folder)
+    sinks.write_store(sinks.read_store(spark, folder).unionByName(store), folder)
+    assert sinks.read_store(spark, folder).count() == 2 and held.count() == 1  # who reads the version before still can
+    broken = store.selectExpr("k", "raise_error('lost') as v")
+    with pytest.raises(Exception):
+        sinks.write_store(broken, folder)
+    assert sinks.read_store(spark, folder).count() == 2
+    sinks.write_store(store, folder)
+    sinks.write_store(store, folder)
+    assert len([p for p in (tmp_path / "store").iterdir() if p.is_dir()]) <= 3 and sinks.write_report(store, str(tmp_path / "reports"), "one").endswith("/one")
+    with pytest.raises(Exception):
+        sinks.write_report(store, str(tmp_path / "reports"), "one")
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    d = session.written(spark.createDataFrame([(1, None)], "k int, v string"))
+    assert d.collect() == [(1, None)] and session.checkpointed(d).count() == 1
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Elsewhere:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_folder(Elsewhere())
+
+
+def test_engine(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "root"), api_key="k")
+    assert e.may_call("k") and not e.may_call(None) and "generic" in e.profiles() and e.health()["status"] == "ok"
+    code = "import re\ndef discover(fetch, render):\n    return [{'url': u} for u in re.findall('href=\"(.*?)\"', fetch('https://www.s.example/'))]"
+    key = e.save_program("https://www.s.example/", "reports", code)
+    assert key.startswith("s.example__")
+    link = "array<struct<url:string>>"
+    pages = lambda *files: spark.createDataFrame([("s.example", "https://www.s.example/", "".join(f'<a href="{f}">' for f in files), [])], f"site string, url string, html string, page_links {link}")
+    assert sorted(r["url"] for r in e.run_programs(pages("/1.pdf", "/2.pdf")).collect()) == ["/1.pdf", "/2.pdf"]
+    assert [(r["status"], r["kept_share"]) for r in e.check(pages("/1.pdf")).collect()] == [("shrank", 0.5)]
+    assert [r["status"] for r in e.check().collect()] == ["ok"] and e.results(key).count() == 2
+    with pytest.raises(ValueError, match="may not"):
+        e.save_program("https://s.example/", "g", "x = ().__class__")
+    gate = PATTERNS
+    e.learn(spark.createDataFrame([("WWW.s.example:443", None, 0, "g", ["/r/"], [], [], {}, "", None, None), ("../x", None, 0, "g", [], [], [], {}, "", None, None)], gate))
+    assert [r["domain"] for r in e.patterns().collect()] == ["s.example"] and e.patterns("www.S.example").count() == 1
+    e.forget("s.example")
+    e.delete_program(key)
+    assert e.patterns().count() == e.programs().count() == e.results().count() == 0
+    blocks = spark.createDataFrame([("https://www.a.example/x?1", "A", 0), ("https://a.example/x", "again", 1), ("https://b.example/", "B", 2)], "url string, title string, ord int")
+    assert [r["title"] for r in e.search_sites(blocks, blocks.limit(0).selectExpr("url", "title", "'' as snippet", "ord")).collect()] == ["A", "B"]
+
+
+def test_profiles(tmp_path):
+    assert profiles.load().name == "generic" and sorted(profiles.load().page_kinds) == sorted(profiles.PAGE_KINDS)
+    good = profiles.load()
+    for relevance, kinds in (({"true": "x"}, good.page_kinds), (good.relevance, {**good.page_kinds, "more": "x"})):
+        with pytest.raises(profiles.UnknownProfile):
+            profiles.checked("p", json.dumps({"relevance": relevance, "page_kinds": kinds}))
+    (tmp_path / "own.json").write_text(json.dumps({"relevance": good.relevance, "page_kinds": good.page_kinds}))
+    assert profiles.load(str(tmp_path / "own.json")).name == "own" and profiles.available(tmp_path) == ["own"]
+    with pytest.raises(profiles.UnknownProfile, match="generic"):
+        profiles.load("nowhere")
+
+
+def test_run_loaders(spark, tmp_path):
+    doc = {"url": "https://a.example/d.pdf"}
+    truth = [{"site": "a", "goal": "g", "expected_documents": [doc], "decoy_documents": [doc, {"url": "https://a.example/x.pdf", "why": "old"}]}]
+    (tmp_path / "truth").mkdir()
+    (tmp_path / "truth" / "a.json").write_text(json.dumps(truth[0]))
+    (tmp_path / "truth" / "example.json").write_text(json.dumps({"site": "example", "expected_documents": [doc]}))
+    entries, expected, decoys = runs.ground_truth(spark, str(tmp_path / "truth"))
+    assert [r["profile"] for r in entries.collect()] == ["generic"] and [tuple(r) for r in decoys.collect()] == [("a", "https://a.example/x.pdf")] and expected.count() == 1
+    folder = tmp_path / "runs" / "r1"
+    folder.mkdir(parents=True)
+    (folder / "run.json").write_text(json.dumps({"site": "a", "goal": "g", "pages": [], "page_kinds": [{"url": "https://a.example/l?start=0", "kind": "document_listing", "probability": 0.9}, {"url": "https://a.example/l", "kind": "other", "probability": 0.1}], "candidates": [{"url": "d", "verdict": "accepted", "source": "page"}]}))
+    for n in (0, 1, 3):
+        (folder / f"harvest_{n:03}.json").write_text(json.dumps({"url": f"https://a.example/{n}", "documents": [{"url": "d"}], "page_links": []}))
+    r, h = runs.recorded_runs(spark, str(tmp_path / "runs"))
+    assert sorted(x["n"] for x in h.collect()) == [0, 1] and [x["recording"] for x in r.collect()] == ["r1"]
+    kinds, verdicts = runs.recorded_answers(r)
+    assert [(x["kind"], x["key"]) for x in kinds.collect()] == [("document_listing", "https://a.example/l")]
+    assert sorted(x["accepted"] for x in runs.joined_recording(h, kinds, verdicts).collect()) == [1, 1]
+    (tmp_path / "set.json").write_text(json.dumps([{"site": "a", "url": "u", "label": 1}]))
+    assert runs.labelled_set(spark, str(tmp_path / "set.json")).first()["label"] == 1
+
+
+def test_programs_are_bounded():
+    assert programs.run_program("def discover(f, r):\n    while True: pass", {}, 1)[1].startswith("stopped after")
+    assert "MemoryError" in programs.run_program("def discover(f, r):\n    x = [0] * 10**9\n    return []", {}, 30)[1]
+    assert "_sys" in programs.run_program("import collections\ndef discover(f, r):\n    return collections._sys", {})[1]
+    assert "ZeroDivisionError" in programs.run_program("def discover(f, r):\n    return 1 / 0", {})[1]
+    docs, error = programs.run_program("def discover(f, r):\n    return [{'url': str(i), 'name': 'n' * 999} for i in range(9000)]", {})
+    assert error is None and len(docs) == programs.MAX_DOCUMENTS and len(docs[0][1]) == programs.MAX_NAME
 
 
 def test_traces(spark):
