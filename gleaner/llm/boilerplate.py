@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import phrases
 from gleaner.llm.crf import Field
-from gleaner.llm.pages import Block, blocks
+from gleaner.llm.pages import Block, block_texts, blocks
 
 #: Pages the model is trained on, at most.
 SAMPLE = 600
@@ -238,7 +238,7 @@ def repeated_blocks(pages: DataFrame, share: float = REPEATED, least: int = LEAS
         for pdf in batches:
             owners, hashes = [], []
             for k, text in enumerate(pdf["html"]):
-                seen = {block_hash(b.text) for b in blocks(text) if len(b.text) >= 4}
+                seen = {block_hash(t) for t in block_texts(text) if len(t) >= 4}
                 hashes += seen
                 owners += [k] * len(seen)
             owners = np.array(owners, dtype=np.int64)

@@ -92,3 +92,29 @@ def blocks(page: str | None) -> list[Block]:
             nodes += 1
     flush()
     return out
+
+
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>", re.S)
+_ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*>"""
+_HIDDEN = "|".join(sorted(HIDDEN))
+_EDGE = re.compile(rf"<(?:{_HIDDEN})(?![\w:-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</(?:{_HIDDEN})\s*>|\Z)|</?(?!(?:{'|'.join(sorted(INLINE))})(?![\w:-]))[a-zA-Z]{_ATTRS}", re.S | re.I)
+_INNER = re.compile(rf"</?[a-zA-Z]{_ATTRS}", re.S)
+
+
+def block_texts(page: str | None) -> set[str]:
+    """The distinct texts of a page's blocks, without their places: a fraction of the work of :func:`blocks`."""
+    if not page:
+        return set()
+    if "<!" in page or "<?" in page:
+        page = _COMMENT.sub("", page)
+    out = set()
+    for piece in _EDGE.split(page):
+        if piece and not piece.isspace():
+            if "<" in piece:
+                piece = _INNER.sub("", piece)
+            if "&" in piece:
+                piece = _html.unescape(piece)
+            text = " ".join(piece.split())
+            if text:
+                out.add(text)
+    return out
