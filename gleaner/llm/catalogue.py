@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gleaner.llm import contexts
 from gleaner.llm.boilerplate import fitted, main_bodies, repeated_blocks, sampled, with_repeated
 from gleaner.llm.canonical import link_copies, link_records
-from gleaner.llm.leakage import find_leaks
+from gleaner.llm.leakage import find_leaks, leak_matches, remove_leaks
 from gleaner.llm.residue import is_residue, residue_pages, with_challenged
 from gleaner.llm.spans import shared_spans
 from gleaner.llm.survivors import best_fields, keyed, vote_records
@@ -58,9 +58,17 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def p8_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return leak_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("doc_id")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans(table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p3_found": p3_found, "p3_records": p3_records, "p6_found": p6_found, "p6_votes": p6_votes, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p3_found": p3_found, "p3_records": p3_records, "p6_found": p6_found, "p6_votes": p6_votes, "p7_ids": p7_ids, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean, "p9_found": p9_found}
 SQL: dict[str, str] = {}

@@ -2,24 +2,34 @@
 
 A span of at least ``length`` code points is made of windows of exactly that
 length, and a code point is shared when some window over it stands in another
-document.  The tokens of a text are its overlapping grams of a quarter of that length,
-each with a random hash.  The Cartesian tree over the hashes groups the windows
-whose grams share one minimum: the compact window of a node.  Equal windows
-have equal minima, so documents can only share windows in groups of equal
-minimum.  Such groups are counted, never listed: a group counts as soon as it
-has two different documents, whatever their number.  Within them a whole group
-of windows is settled by one hash where it stands elsewhere too.  The rest (the
-ends of shared passages) is grouped again by the minima of longer grams, settled
-the same way, and what is open then is compared window by window.
+document.  The tokens of a text are its overlapping grams of a quarter of that
+length, each with a random hash.  The Cartesian tree over the hashes has a node
+for each gram that is the minimum of some range; its compact window is all
+ranges in which it is the minimum.  A window of the fixed length has exactly one
+such node, so the part of a node's compact window at that length is a run of
+window starts, and the runs of all nodes are the longest runs of starts with one
+minimum: these are found by sliding minima, without building the tree.  Equal
+windows have equal minima under every hash, so for verbatim spans one hash finds
+all (several are needed where windows only resemble each other).
+
+Documents can only share windows in groups of equal minimum.  Within them a whole
+run is settled by one hash of its text where it stands elsewhere too.  The rest
+(the ends of shared passages) is grouped again by the minima of longer grams,
+settled the same way, and what is open then is compared window by window.  The
+intervals found so each name a witness, the same interval of another document,
+and are joined to the texts of both: only what is equal there, character by
+character, counts.
 
 All comparisons are joins and aggregations on hashes, with partial aggregation
 before each shuffle; no group is collected and no pair of documents is made, so
 a text that stands in a third of all documents costs each of them the same as
-one that stands twice.
+one that stands twice.  The shared folder holds ids and ranges only; texts are
+read again where they are needed.
 
 Defined results: null, empty and short texts have no spans; a span repeated
 only inside its own document is not shared; rows repeated with one key are one
-document; ``shared`` counts code points.
+document; ``shared`` counts code points; should two texts have one hash (64 bits
+of minimum and 64 of text, or 128 bits), the check on the texts drops the interval.
 """
 
 from __future__ import annotations
@@ -161,32 +171,53 @@ def single_windows(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _elsewhere(rows: DataFrame, *keys: str) -> DataFrame:
-    """The keys that stand in two different documents, and two such: an aggregate of fixed size, combined before the shuffle."""
-    return rows.groupBy(*keys).agg(F.min("__doc").alias("__a"), F.max("__doc").alias("__b")).where("__a <> __b")
+    """The keys that stand in two different documents, and a place in each of two such: an aggregate of fixed size, combined before the shuffle."""
+    place = F.struct("__doc", "begin")
+    return rows.groupBy(*keys).agg(F.min(place).alias("__a"), F.max(place).alias("__b")).where("__a.__doc <> __b.__doc")
+
+
+def _witnessed(rows: DataFrame, size) -> DataFrame:
+    """(__doc, begin, size, wdoc, wbegin): rows with their key's two places, each with the one in another document."""
+    other = F.when(F.col("__a.__doc") != F.col("__doc"), F.col("__a")).otherwise(F.col("__b"))
+    return rows.select("__doc", "begin", size.cast("int").alias("size"), other["__doc"].alias("wdoc"), other["begin"].alias("wbegin"))
 
 
 def settle(groups: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(covered ranges of the groups that stand elsewhere as a whole, groups still open per document)."""
+    """(intervals of the groups that stand elsewhere as a whole, groups still open per document)."""
     # few groups share their minimum: those are kept in the shared folder, as they are read several times
-    live = checkpointed(groups.join(_elsewhere(groups, "low"), "low", "left_semi"))
+    live = checkpointed(groups.join(_elsewhere(groups, "low").select("low"), "low", "left_semi"))
     marked = live.join(_elsewhere(live, "low", "whole"), ["low", "whole"], "left")
-    whole = marked.where("__a is not null").select("__doc", "begin", (F.col("begin") + F.col("n") - 1 + length).alias("end"))
+    whole = _witnessed(marked.where("__a is not null"), F.col("n") - 1 + length)
     # the rest is compared with two of each settled kind of the same minimum; a document's groups are bounded by its own text
     unsettled = marked.where("__a is null")
-    stand_in = marked.where("__doc in (__a, __b)").join(unsettled.select("low").distinct(), "low", "left_semi")
+    stand_in = marked.where("__doc in (__a.__doc, __b.__doc)").join(unsettled.select("low").distinct(), "low", "left_semi")
     rest = unsettled.unionByName(stand_in).groupBy("__doc").agg(F.collect_set(F.struct("begin", "n")).alias("__open"))
     return whole, rest
 
 
+def joined_runs(windows: DataFrame, length: int) -> DataFrame:
+    """Witnessed windows of one document, side by side in both texts, as one interval each."""
+    shift = F.col("wbegin") - F.col("begin")
+    w = Window.partitionBy("__doc", "wdoc", "shift").orderBy("begin")  # windows of one document
+    d = windows.withColumn("shift", shift).withColumn("run", F.col("begin") - F.row_number().over(w))
+    return d.groupBy("__doc", "wdoc", "shift", "run").agg(F.min("begin").alias("begin"), F.max("begin").alias("__last")).select("__doc", "begin", (F.col("__last") - F.col("begin") + length).cast("int").alias("size"), "wdoc", (F.col("begin") + F.col("shift")).cast("int").alias("wbegin"))
+
+
+def verified(intervals: DataFrame, texts: DataFrame) -> DataFrame:
+    """The intervals whose text is that of their witness, character by character."""
+    there = texts.select(F.col("__doc").alias("wdoc"), F.col("__text").alias("__there"))
+    d = intervals.join(there, "wdoc").withColumn("__said", F.substring("__there", F.col("wbegin") + 1, F.col("size"))).drop("__there")
+    return d.join(texts, "__doc").where(F.substring("__text", F.col("begin") + 1, F.col("size")) == F.col("__said")).select("__doc", "begin", (F.col("begin") + F.col("size")).alias("end"))
+
+
 def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(key, shared_chars) of the documents with a span of ``length`` code points or more that another holds too."""
     texts = documents.select(F.col(key).cast("long").alias("__doc"), F.col(text).alias("__text")).where("__doc is not null").where(F.length("__text") >= length)
     wide, rest = settle(window_groups(texts, length, max(1, length // GRAM)), length)
-    held = checkpointed(texts.join(rest, "__doc"))  # the documents where some passage begins or ends
-    narrow, rest = settle(window_groups(held, length, max(1, length - FINE)), length)
-    singles = checkpointed(single_windows(held.drop("__open").join(rest, "__doc"), length))
-    single = singles.join(_elsewhere(singles, "one", "two"), ["one", "two"], "left_semi").select("__doc", F.col("at").alias("begin"), (F.col("at") + length).alias("end"))
-    covered = wide.unionByName(narrow).unionByName(single)
+    narrow, rest = settle(window_groups(texts.join(rest, "__doc"), length, max(1, length - FINE)), length)
+    singles = checkpointed(single_windows(texts.join(rest, "__doc"), length).withColumnRenamed("at", "begin"))
+    single = joined_runs(_witnessed(singles.join(_elsewhere(singles, "one", "two"), ["one", "two"]), F.lit(length)), length)
+    covered = verified(wide.unionByName(narrow).unionByName(single), texts)
     w = Window.partitionBy("__doc").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest(F.coalesce(F.max("end").over(w), F.lit(0)), F.col("begin")))
     out = covered.select("__doc", fresh.alias("__fresh")).groupBy("__doc").agg(F.sum("__fresh").cast("long").alias("shared_chars"))

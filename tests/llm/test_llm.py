@@ -289,7 +289,10 @@ def test_leaks(spark, rows):
     d = spark.createDataFrame([(k, "\n".join(v), 0) for k, v in docs.items()] + [(10, None, 0), (11, "", 0), (1, " ".join(docs[1]), 0)], "doc_id long, text string, item_id int")
     b = spark.createDataFrame([(70, " ".join(item)), (71, None), (72, ""), (73, "two words")], "item_id long, text string")
     want = [(k, 70) for k in (1, 2, 3, 4, 5)]
-    assert rows(leakage.find_leaks(d, b)) == want == rows(leakage.find_leaks(d, b, block=1))
+    assert rows(leakage.find_leaks(d, b)) == want == rows(leakage.find_leaks(d, b, block_bytes=100))
+    assert rows(leakage.remove_leaks(d, b), "doc_id") == [(k,) for k in (10, 11, 6, 7, 8, 9)]
+    place = {r[0]: r[2:] for r in rows(leakage.leak_matches(d, b))}
+    assert place[1] == (100, 0, 40) and place[2] == (0, 0, 40) and place[4] == (30, 0, 24) and place[5] == (0, 0, 20)
     assert rows(leakage.find_leaks(d.limit(0), b)) == [] == rows(leakage.find_leaks(d, b.limit(0)))
 
 
@@ -299,35 +302,80 @@ def test_alignment_counts_matches():
     assert (score, hits) == (8, 9)
 
 
+def _word(rnd):
+    return "".join(rnd.choice("abcdefgh") for _ in range(6))
+
+
 def test_gate_lets_through_what_the_alignment_accepts():
     rnd = random.Random(8)
-    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
-    item, noise = [word() for _ in range(40)], [word() for _ in range(9000)]
+    item, noise = [_word(rnd) for _ in range(40)], [_word(rnd) for _ in range(9000)]
     sixth = [w if i % 6 else "other" for i, w in enumerate(item)]
     added = [x for i, w in enumerate(item) for x in ([w, "more"] if i % 2 else [w])]  # runs of two words
     far = [*item[:20], *noise[:45], *item[20:]]
-    docs = [noise[:50] + sixth + noise[50:60], added, noise[:7000] + far + noise[7000:], noise, item[:19], item[::2]]
+    long = [*item[:20], *noise[:20], noise[20] + ".", *noise[21:400], noise[400] + ".", *item[20:]]  # a sentence of any length
+    two = [*item[:20], noise[0] + ".", *noise[1:300], noise[300] + ".", *noise[301:500], noise[500] + ".", *noise[501:800], noise[800] + ".", *item[20:]]
+    docs = [noise[:50] + sixth + noise[50:60], added, noise[:7000] + far + noise[7000:], noise, item[:19], item[::2], noise[:4000] + long + noise[4000:], item[:12] + two[20:-20] + item[28:]]  # the last: several sentences in between
     p = leakage.Passages([(7, " ".join(item)), (8, "no such words here")])
-    assert leakage.search_shard(p, [" ".join(d) for d in docs]) == [(0, 0), (1, 0), (2, 0)]
+    assert leakage.search_shard(p, [" ".join(d) for d in docs]) == [(0, 0), (1, 0), (2, 0), (6, 0)]
+    other = leakage.Passages([(7, " ".join(item)), (8, " ".join(_word(rnd) for _ in range(900)))])  # an unrelated long passage changes nothing
+    assert leakage.search_shard(other, [" ".join(d) for d in docs]) == [(0, 0), (1, 0), (2, 0), (6, 0)]
 
 
 def test_gate_equals_aligning_everything():
     rnd = random.Random(9)
     vocabulary = [f"w{i}" for i in range(12)]
     items = [[rnd.choice(vocabulary) for _ in range(rnd.randint(4, 20))] for _ in range(40)]
-    docs = [[rnd.choice(vocabulary) for _ in range(rnd.randint(0, 60))] for _ in range(60)]
+    docs = [[rnd.choice(vocabulary) + rnd.choice(["", "", "", "."]) for _ in range(rnd.randint(0, 60))] for _ in range(60)]
     p = leakage.Passages([(i, " ".join(x)) for i, x in enumerate(items)])
     want = []
     for t, d in enumerate(docs):
         for o, x in enumerate(p.texts):
             need = max(leakage.SEED, leakage.SHARE * len(x))
-            place = np.array([p.ids[w] for w in d] + [-1])
-            best = leakage.align([x], [place], np.array([need]))[0]
-            assert leakage.best_scores([x], [place])[0] == leakage.align([x], [place])[0] // leakage._UNIT
+            place = np.array([p.ids[w.rstrip(".")] for w in d] + [-1])
+            ends = np.array([*leakage.sentences(" ".join(d)), 99])
+            best = leakage.align([x], [place], np.array([need]), [ends])[0]
+            assert leakage.upper_scores([x], [place])[0] >= leakage.align([x], [place], None, [ends])[0] // leakage._UNIT
             want += [(t, o)] if best and best // leakage._UNIT >= leakage.SCORE * len(x) else []
     assert 0 < len(want) < 2400 and leakage.search_shard(p, [" ".join(d) for d in docs]) == want
 
 
+def test_suffix_array_is_in_order_and_finds_longest_matches():
+    rnd = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(4)]
+    text = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    items, docs = [text(rnd.randint(4, 30)) for _ in range(6)], [text(rnd.randint(0, 80)) + ["zz"] * (i % 2) for i in range(8)]
+    p = leakage.Passages([(i, " ".join(x)) for i, x in enumerate(items)])
+    shard = leakage.Shard(p, [" ".join(d) for d in docs])
+    array = shard.suffixes()
+    joint = np.concatenate([shard.row, p.row]).tolist()
+
+    def suffix(i):  # as far as every pair of it stands in some passage
+        out = [(joint[i], joint[i + 1])]
+        while i + len(out) * 1 + 1 < len(joint) and array.levels[0][i + len(out)] > 0:
+            out.append((joint[i + len(out)], joint[i + len(out) + 1]))
+        return out
+
+    longest = max(len(x) for x in items)
+    order = [suffix(int(i))[: longest] for i in array.places]
+    for k in range(len(array.levels)):  # equal ranks are equal words
+        seen = {}
+        for i in array.places.tolist():
+            if r := array.levels[k][i]:
+                assert seen.setdefault(r, joint[i : i + (2 << k)]) == joint[i : i + (2 << k)]
+    assert len(order) == len(array.places) == len(set(array.places.tolist()))
+    for t, d in enumerate(docs):
+        for o, x in enumerate(items):
+            n = max((k for i in range(len(d)) for j in range(len(x)) for k in range(2, len(x) - j + 1) if d[i : i + k] == x[j : j + k] and i + k <= len(d)), default=0)
+            a, b, m = shard.longest(t, o)
+            assert m == n and (not n or d[a : a + n] == x[b : b + n])
+
+
+def test_words_and_sentences():
+    assert leakage.words("It’s 1,000 a_b — ﬁne. STRASSE Straße") == ["its", "1000", "ab", "fine", "strasse", "strasse"]
+    assert leakage.words("It's 1,000 a_b - fine.") == ["its", "1000", "ab", "fine"]
+    assert leakage.sentences("One two. – Three! “Four.” five") == [0, 0, 1, 2, 3] and leakage.words(None) == leakage.words("") == []
+
+
 # --- spans ---------------------------------------------------------------------------------------
 
 
@@ -356,3 +404,10 @@ def test_spans_match_brute_force(spark):
         got = {r["doc_id"]: r["shared_chars"] for r in spans.shared_spans(d, length=length).collect()}
         assert got == shared_brute([(k, t) for k, t in docs if t], length)
     assert spans.shared_spans(d.limit(0)).count() == 0
+
+
+def test_spans_are_checked_on_the_texts(spark):
+    """Intervals that hashes alone would count are dropped where the texts differ."""
+    texts = spark.createDataFrame([(1, "abcdé😀fgh"), (2, "xxabcdé😀fgx"), (3, "abcdE😀fgh")], "__doc long, __text string")
+    d = spark.createDataFrame([(1, 0, 8, 2, 2), (3, 0, 8, 2, 2), (3, 5, 2, 2, 7)], "__doc long, begin int, size int, wdoc long, wbegin int")
+    assert sorted(map(tuple, spans.verified(d, texts).collect())) == [(1, 0, 8), (3, 5, 7)]
