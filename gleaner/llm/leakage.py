@@ -96,6 +96,8 @@ class Passages:
         self.owner = owner[order]
         self.unique, self.lists = np.unique(key[order], return_index=True)
         self.lists = np.append(self.lists, len(order))
+        # each passage's distinct pairs as one sorted list
+        self.members = np.unique(self.owner * max(1, len(self.unique)) + np.repeat(np.arange(len(self.unique)), np.diff(self.lists)))
 
     def pairs(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of adjacent known words as numbers, and where they stand."""
@@ -220,22 +222,32 @@ def align(passages: list[np.ndarray], places: list[np.ndarray], least: np.ndarra
 def upper_scores(passages: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
     """No less than the score of ``align``'s best alignments, in a fraction of the time: here any stretch may be put in at the price of a sentence."""
     height, width = max(map(len, passages)), max(map(len, places))
-    kind = np.int16 if height < 30_000 else np.int32
-    a = np.full((height, len(passages)), -3, dtype=np.int32)
-    w = np.full((width, len(places)), -4, dtype=np.int32)
+    kind = np.int8 if height < 120 else np.int16 if height < 30_000 else np.int32
+    ids = np.int16 if max(int(x.max(initial=0)) for x in passages) < 30_000 else np.int32
+    a = np.full((height, len(passages)), -3, dtype=ids)
+    w = np.full((width, len(places)), -4, dtype=ids)
     for i, (x, y) in enumerate(zip(passages, places, strict=True)):
-        a[: len(x), i], w[: len(y), i] = x, y
+        a[: len(x), i], w[: len(y), i] = x, np.minimum(y, np.iinfo(ids).max)
     # places lie down the first axis, so that a running maximum works on whole rows
     cells, now = np.zeros((2, width + 1, len(passages)), dtype=kind)
     best = np.zeros_like(cells)
+    one, far = kind(1), np.empty_like(cells)
     for k in range(height):
-        np.subtract(cells[:-1], kind(1), out=now[1:])
-        now[1:] += (w == a[k]) * kind(2)
-        np.maximum(now, cells - kind(1), out=now)
-        np.maximum(now, 0, out=now)
+        same = (w == a[k]).view(np.int8)
+        np.add(cells[:-1], same, out=now[1:])
+        now[1:] += same
+        now[1:] -= one
         now[0] = 0
-        far = np.maximum.accumulate(now, axis=0)
-        now[1:] = np.maximum(now[1:], np.maximum(now[:-1] - kind(1), far[:-1] - kind(PRICE)))
+        np.subtract(cells, one, out=cells)
+        np.maximum(now, cells, out=now)
+        np.maximum(now, 0, out=now)
+        np.subtract(now, kind(PRICE), out=far)
+        reach = 1
+        while reach <= width:  # the running maximum by doubling
+            far[reach:] = np.maximum(far[reach:], far[:-reach])
+            reach *= 2
+        np.maximum(far[:-1], now[:-1] - one, out=far[:-1])
+        np.maximum(now[1:], far[:-1], out=now[1:])
         np.maximum(best, now, out=best)
         cells, now = now, cells
     return best.max(axis=0)
@@ -296,6 +308,7 @@ class Shard:
         doc, begin, end = self.stretches()
         order = np.lexsort((pair, place))
         place, pair = place[order], pair[order]
+        self.place, self.pair = place, pair
         first, last = np.searchsorted(place, begin, "left"), np.searchsorted(place, end - 1, "left")
         n = np.maximum(last - first, 0)
         part = np.repeat(np.arange(len(doc)), n)
@@ -317,21 +330,53 @@ class Shard:
             i = j
         return out
 
+    def squeezed(self, tasks: list[tuple[int, int, int, int]]) -> list[np.ndarray]:
+        """The stretch of each task with only the words of pairs that it shares with the passage, one -5 for what is left out
+        between two: an alignment scores no less in it, as leaving out costs a word at least."""
+        p = self.p
+        b, e, o = (np.array([t[i] for t in tasks], dtype=np.int64) for i in (1, 2, 3))
+        first, last = np.searchsorted(self.place, b, "left"), np.searchsorted(self.place, e - 1, "left")
+        n = np.maximum(last - first, 0)
+        task = np.repeat(np.arange(len(tasks)), n)
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        wanted = o[task] * len(p.unique) + self.pair[at]
+        found = np.searchsorted(p.members, wanted)
+        keep = p.members[np.minimum(found, len(p.members) - 1)] == wanted
+        task, at = task[keep], self.place[at[keep]]
+        gap = np.full(len(at), 1 << 30, dtype=np.int64)  # to the next pair of the same task
+        same = task[1:] == task[:-1]
+        gap[:-1][same] = (at[1:] - at[:-1])[same]
+        size = 1 + (gap > 1) + (gap > 2)
+        total = np.concatenate([[0], np.cumsum(size)])
+        out = np.full(total[-1], -5, dtype=np.int64)
+        out[total[:-1]] = self.row[at]
+        loose = gap > 1
+        out[total[:-1][loose] + 1] = self.row[at[loose] + 1]
+        cuts = total[np.searchsorted(task, np.arange(len(tasks) + 1))]
+        return [out[cuts[i] : cuts[i + 1]] for i in range(len(tasks))]
+
     def leaks(self) -> list[tuple[int, int]]:
         """(document, passage) of every leak, in order."""
         p = self.p
         tasks = sorted(self.candidates(), key=lambda x: (p.sizes[x[3]] // 8, x[2] - x[1]))  # of like sizes together
+        left: list[tuple[int, int, int, int]] = []
+        for k in range(0, len(tasks), 1024):
+            some = tasks[k : k + 1024]
+            short = self.squeezed(some)
+            order = sorted(range(len(some)), key=lambda i: len(short[i]))
+            while order:
+                most = max(1, ENTRIES // (len(short[order[-1]]) + 2))
+                part, order = order[-most:], order[: max(0, len(order) - most)]
+                scores = upper_scores([p.texts[some[i][3]] for i in part], [short[i] for i in part])
+                left += [some[i] for i, v in zip(part, scores.tolist(), strict=True) if v >= SCORE * p.sizes[some[i][3]]]
         ends: dict[int, np.ndarray] = {}
         found: set[tuple[int, int]] = set()
+        left.sort(key=lambda x: x[2] - x[1])
         k = 0
-        while k < len(tasks):
-            some = tasks[k : k + 128]
+        while k < len(left):
+            some = left[k : k + 128]
             some = some[: max(1, ENTRIES // (int(some[-1][2] - some[-1][1]) + 2))]
             k += len(some)
-            scores = upper_scores([p.texts[o] for *_, o in some], [self.row[b:e] for _, b, e, _ in some])
-            some = [x for x, v in zip(some, scores.tolist(), strict=True) if v >= SCORE * p.sizes[x[3]]]
-            if not some:
-                continue
             for t, *_ in some:
                 if t not in ends:
                     ends[t] = np.array(sentences(self.texts[t]), dtype=np.int64)
