@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import urls
+from gleaner.session import written
 
 # Tiers of page kinds (others 2), bandit and stop parameters.
 TIERS = {"seed": 0, "document_listing": 1, "listing": 1, "fund_or_product": 1, "category": 2, "category_or_overview": 2, "other": 2, "news": 3, "legal": 3, "news_or_article": 3, "company_or_legal": 3}
@@ -35,6 +36,23 @@ def path_sample(pages: DataFrame, scope: list[str], order: str, limit: int = 80)
     return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("__first")
 
 
+def numbered(rows: DataFrame, scope: list[str], order: list[Column], out: str) -> DataFrame:
+    """``rows`` numbered from 1 in order within each scope, a scope of any size spread over all tasks.
+
+    Rows are sorted into ranges over all of (scope, order), each range is numbered by itself, and the numbers of a scope's
+    earlier ranges are added: a scope has one count per range it touches.  Equal rows are numbered in any order.
+    """
+    names = [f"__o{i}" for i in range(len(order))]
+    d = rows.withColumns(dict(zip(names, order, strict=True))).repartitionByRange(*scope, *names)
+    d = written(d.withColumn("__part", F.spark_partition_id()))
+    sizes = d.groupBy(*scope, "__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*scope).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(scope)], F.col("__part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__before"))
+    on = [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate(scope)] + [F.col("__part") == F.col("__p")]
+    d = d.withColumn("__rn", F.row_number().over(Window.partitionBy(*scope, "__part").orderBy(*names))).join(sizes, on)
+    return d.withColumn(out, (F.col("__rn") + F.col("__before")).cast("int")).drop("__rn", "__before", "__part", "__p", *names, *[f"__s{i}" for i in range(len(scope))])
+
+
 def rank_by_paths(pages: DataFrame, scope: list[str], order: str, prefer: str, skip: str, years: str) -> DataFrame:
     """``pages`` with ``rank``: preferred paths in plan order, then goal years, then the rest, skipped ones last."""
     p = F.lower(urls.unquote(urls.path(F.col("url"))))
@@ -42,8 +60,7 @@ def rank_by_paths(pages: DataFrame, scope: list[str], order: str, prefer: str, s
     inside = lambda c: F.exists(c, lambda x: p.contains(x))
     band = F.when(F.size(hits) > 0, F.struct(F.lit(0).alias("a"), F.array_min(hits).alias("b"))).when(inside(years), F.struct(F.lit(0).alias("a"), F.size(prefer).alias("b")))
     band = band.when(inside(skip), F.struct(F.lit(2).alias("a"), F.lit(0).alias("b"))).otherwise(F.struct(F.lit(1).alias("a"), F.lit(0).alias("b")))
-    d = pages.withColumn("__band", band)
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy(*scope).orderBy("__band", order))).drop("__band")
+    return numbered(pages, scope, [band["a"], band["b"], F.col(order)], "rank")
 
 
 def tier(kind: Column, revealed: Column, goal_year: Column) -> Column:

@@ -309,12 +309,9 @@ SELECT e.site, round(count(*) FILTER (page_no <= 10) / count(*), 3) AS recall_at
   round(count(*) FILTER (page_no <= 40) / count(*), 3) AS recall_at_40, min(page_no)::INT AS pages_to_first_hit
 FROM {_EXPECTED} e LEFT JOIN f ON f.site = e.site AND f.ident = e.ident GROUP BY 1""")
 def a9_recall_at(spark, folder):
-    from pyspark.sql import Window
-
     d = _idents(spark, folder)
     pages = table(spark, folder, "pages").select("site", "url", "page_id")
-    numbered = pages.withColumn("page_no", F.row_number().over(Window.partitionBy("site").orderBy("page_id")))
-    numbers = numbered.groupBy(F.col("url").alias("source_page")).agg(F.min("page_no").alias("__no"))
+    numbers = ranking.numbered(pages, ["site"], [F.col("page_id")], "page_no").groupBy(F.col("url").alias("source_page")).agg(F.min("page_no").alias("__no"))
     found = d.where("verdict = 'accepted'").join(numbers, "source_page", "left")
     found = found.withColumn("page_no", F.when(F.col("source").isin("sitemap", "api"), 0).otherwise(F.coalesce("__no", F.lit(0))))
     return evaluation.recall_at(found, d.where("source in ('page', 'api')"), ["site"])

@@ -56,6 +56,16 @@ def test_bandit_prefers_paying_group(spark):
     assert got["tier"] == 2 and got["bandit"] >= 5
 
 
+def test_numbers_of_a_scope_in_several_ranges(spark):
+    rows = [("hot" if i % 10 else None, (i * 7919) % 1000, "clash") for i in range(1000)]
+    d = spark.createDataFrame(rows, "site string, o int, __n string").repartition(5)
+    got = sorted((r["site"] or "", r["n"], r["o"]) for r in ranking.numbered(d, ["site"], [F.col("o")], "n").collect())
+    want = []
+    for site in (None, "hot"):
+        want += [(site or "", n, o) for n, o in enumerate(sorted(o for s, o, _ in rows if s == site), 1)]
+    assert got == sorted(want) and ranking.numbered(d.limit(0), ["site"], [F.col("o")], "n").count() == 0
+
+
 def test_stores(spark):
     run = spark.createDataFrame([("k", 1, None, 10), ("k", 2, None, 4), ("k", 3, None, 0), ("k", 4, None, 0), ("k", 5, "boom", 9)], "program_key string, run_no int, error string, kept int")
     assert [r["health"] for r in stores.health(run).orderBy("run_no").collect()] == ["healthy", "dropped", "empty", "healthy", "error"]
