@@ -249,6 +249,28 @@ def test_exact_ids(spark):
     assert tokens.encode_corpus(d.limit(0)).count() == 0
 
 
+@RANKS
+def test_chunks_are_encoded_once_for_the_corpus(spark):
+    """Texts that share long passages: their chunks are encoded by one document and given to the others; null and repeated keys too."""
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefghé中 ,.1") for _ in range(rnd.randint(2, 9)))
+    passages = [" ".join(word() for _ in range(600)) for _ in range(4)]
+    texts = [" ".join(word() for _ in range(rnd.randint(0, 40))) + rnd.choice(passages) + " ".join(word() for _ in range(40)) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (0, texts[1]), (None, texts[2]), (None, None), (99, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = d.select(d.doc_id.alias("__doc"), d.text.alias("__text"))
+    given = tokens.shared_ids(plain, tokens.RANKS, tokens.PATTERN).collect()
+    assert len(given) > 20 and all(len(r["given"]) for r in given)
+    bpe = tokens.Encoder().bpe
+    got = sorted((r["doc_id"] or -1, list(r["ids"])) for r in tokens.encode_corpus(d).collect())
+    assert got == sorted((k or -1, bpe.encode_ordinary(t or "")) for k, t in rows)
+    # what is given is used, not encoded again
+    encoder = tokens.Encoder()
+    held = {np.array([x["h1"], x["h2"]], dtype=np.int64).tobytes(): np.array([7] * len(x["ids"]), dtype=np.int32) for r in given for x in r["given"]}
+    ids, _ = tokens.encode_buffer(encoder, np.frombuffer(texts[0].encode(), dtype=np.uint8), np.array([0, len(texts[0].encode())]), held)
+    assert (ids == 7).sum() > 100 and len(ids) == len(bpe.encode_ordinary(texts[0]))
+
+
 @RANKS
 def test_pieces_are_encoded_once():
     e = tokens.Encoder()
