@@ -12,13 +12,14 @@ from gleaner.llm.residue import is_residue, residue_pages, with_challenged
 from gleaner.llm.spans import shared_spans
 from gleaner.llm.survivors import best_fields, keyed, vote_records
 from gleaner.llm.tokens import encode_corpus
-from gleaner.session import table
+from gleaner.session import table, written
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages with what repeats on their site and whether it ever showed a challenge."""
     pages = table(spark, folder, "pages")
-    return with_challenged(with_repeated(pages, repeated_blocks(pages)), table(spark, folder, "domain_patterns"))
+    repeated = written(repeated_blocks(pages))  # one short list a site, for the sample and for all pages
+    return with_challenged(with_repeated(pages, repeated), table(spark, folder, "domain_patterns"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
