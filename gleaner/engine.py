@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner import profiles
-from gleaner.functions import urls
+from gleaner.functions import texts, urls
 from gleaner.operators import stores
 from gleaner.operators.judging import Judge
 from gleaner.plans import discover as plan
+from gleaner.plans import goals
 from gleaner.plans import programs as running
 from gleaner.sources import sinks, structured
 
@@ -45,8 +46,16 @@ class Engine:
         return self.api_key is None or given == self.api_key
 
     # --- discovery -------------------------------------------------------------------------------
-    def discover(self, pages: DataFrame, terms: Column, judge: Judge | None = None, latest: bool = False, include_rejected: bool = False) -> DataFrame:
-        return plan.discover(pages, terms, judge, latest, include_rejected)
+    def discover(self, pages: DataFrame, terms: Column, judge: Judge | None = None, latest: bool = False, include_rejected: bool = False, sitemap: DataFrame | None = None) -> DataFrame:
+        return plan.discover(pages, terms, judge, latest, include_rejected, sitemap)
+
+    def discover_goal(self, goal: str, answer: str, pages: DataFrame, sitemap: DataFrame | None = None, **options) -> DataFrame:
+        """Discovery for a goal with a model's recorded answer on it: its key terms judge, and the years the goal names keep
+        documents of those years and undated ones."""
+        one = self.spark.createDataFrame([(goal, answer)], "goal string, answer string")
+        row = goals.crawl_plans(one).select("key_terms", texts.goal_years(F.col("goal")).alias("years")).first()
+        docs = self.discover(pages, F.array(*[F.lit(t) for t in row["key_terms"]]).cast("array<string>"), sitemap=sitemap, **options)
+        return docs.where(F.col("year").isNull() | F.col("year").isin(row["years"])) if row["years"] else docs
 
     def search_sites(self, blocks: DataFrame, snippets: DataFrame, n: int = 10) -> DataFrame:
         """The first ``n`` sites of recorded results, each site once."""

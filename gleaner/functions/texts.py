@@ -133,6 +133,17 @@ def outcome(challenged_first: Column, challenged_last: Column, status: Column) -
     return F.when(challenged_last, "challenge").when(status >= 400, "blocked").when(challenged_first, "solved").otherwise("pass")
 
 
+def on_cloudflare(server: Column, ray: Column) -> Column:
+    """Whether response headers (server, cf-ray) are those of the challenge service."""
+    return (F.lower(F.coalesce(server, F.lit(""))) == "cloudflare") | (F.coalesce(ray, F.lit("")) != "")
+
+
+def network_mode(remote: Column, stealth: Column, proxy: Column) -> Column:
+    """The way a check went out, without addresses."""
+    browser = F.when(F.coalesce(remote, F.lit("")) != "", "remote browser").when(F.coalesce(stealth, F.lit("")) != "", "stealth browser").otherwise("local browser")
+    return F.concat(browser, F.lit(", "), F.when(F.coalesce(proxy, F.lit("")) != "", "proxy").otherwise("direct"))
+
+
 def cost_usd(tokens: Column, per_million: float) -> Column:
     return F.round(tokens * per_million / 1_000_000, 6)
 

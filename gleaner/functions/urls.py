@@ -91,10 +91,15 @@ def keeps_parent_facets(u: Column, parent: Column) -> Column:
     return parent.isNotNull() & (F.size(own) > 0) & (F.size(F.array_except(own, bracket_facets(parent))) == 0)
 
 
-def paging_identity(u: Column) -> Column:
-    """What is left of a URL without host, paging and facet parameters; those left are sorted."""
-    kept = F.filter(pairs(u), lambda x: ~x["k"].rlike(PAGING) & ~x["k"].rlike(FACET))
-    stable = encode_pairs(F.array_sort(F.transform(kept, lambda x: F.struct(facet_key(x["k"]).alias("k"), x["v"].alias("v")))))
+def paging_identity(u: Column, keep: Column | None = None) -> Column:
+    """What is left of a URL without host, paging and facet parameters; those left are sorted.
+
+    ``keep``: facets (array<struct<k, v>>, keys as :func:`facet_key` has them) that stay, as a crawl set them itself.
+    """
+    own = lambda x: F.struct(facet_key(x["k"]).alias("k"), x["v"].alias("v"))
+    free = lambda x: ~x["k"].rlike(PAGING) & ~x["k"].rlike(FACET)
+    kept = F.filter(pairs(u), free if keep is None else lambda x: free(x) | F.array_contains(keep, own(x)))
+    stable = encode_pairs(F.array_sort(F.transform(kept, own)))
     base = F.lower(F.regexp_replace(path(u), "/+$", ""))
     return F.when(stable != "", F.concat(base, F.lit("?"), stable)).otherwise(base)
 

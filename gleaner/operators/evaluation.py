@@ -46,6 +46,14 @@ def recall_at(found: DataFrame, expected: DataFrame, scope: list[str], pages: tu
     return joined.groupBy(*scope).agg(*within, F.min("page_no").alias("pages_to_first_hit"))
 
 
+def candidate_pages(found: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``found`` (source_page, source) with ``page_no``: the number of the page each was found on (``numbers``: source_page,
+    page_no); 0 for those of sitemaps and APIs, which are known before the first page, and for unknown pages."""
+    first = numbers.groupBy("source_page").agg(F.min("page_no").alias("__no"))
+    d = found.join(first, "source_page", "left")
+    return d.withColumn("page_no", F.when(F.col("source").isin("sitemap", "api"), 0).otherwise(F.coalesce("__no", F.lit(0)))).drop("__no")
+
+
 def missed(found: DataFrame, expected: DataFrame, scope: list[str]) -> DataFrame:
     return expected.select(*scope, "ident").distinct().join(found, [*scope, "ident"], "left_anti")
 
@@ -74,3 +82,11 @@ def arm_shift(scores: DataFrame, key: list[str], base: str, other: str) -> DataF
     """Mean change of a score between two arms, over what both scored."""
     a, b = (scores.where(F.col("arm") == arm).select(*key, F.col("score").alias(n)) for arm, n in ((base, "x"), (other, "y")))
     return a.join(b, key).agg(F.count("*").alias("pairs"), F.round(F.avg(F.col("y") - F.col("x")), 6).alias("shift"))
+
+
+def repeated_shift(scores: DataFrame, key: list[str], base: str, other: str, again: str) -> DataFrame:
+    """Mean change of a score from a base arm to another, over what all three arms scored, against the base's mean of two runs,
+    and the base's own mean change between its runs (what a change must exceed)."""
+    arm = lambda name, out: scores.where(F.col("arm") == name).select(*key, F.col("score").alias(out))
+    d = arm(base, "x").join(arm(other, "y"), key).join(arm(again, "z"), key)
+    return d.agg(F.count("*").alias("pairs"), F.round(F.avg(F.col("y") - (F.col("x") + F.col("z")) / 2), 6).alias("shift"), F.round(F.avg(F.abs(F.col("z") - F.col("x"))), 6).alias("noise"))

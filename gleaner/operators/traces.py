@@ -96,3 +96,15 @@ def for_year(docs: DataFrame, year: str, wanted: str) -> DataFrame:
 def zipped(items: DataFrame, answers: DataFrame, scope: list[str]) -> DataFrame:
     """``items`` with the answer of the same batch and place; none where the answers ran out."""
     return items.join(answers, [*scope, "ord"], "left")
+
+
+def within_fetch_budget(calls: DataFrame, scope: list[str], order: str, requests: int = 400, renders: int = 40, most_bytes: int = 4_000_000) -> DataFrame:
+    """``calls`` (kind: fetch, post, render or interact; url; body) of programs with ``answer``: ``cached`` where the same fetch came
+    before, ``spent`` beyond ``requests`` new calls or ``renders`` pages, ``cut`` for a body longer than ``most_bytes``, else ``new``."""
+    w = Window.partitionBy(*scope).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    again = (F.col("kind") == "fetch") & (F.row_number().over(Window.partitionBy(*scope, "kind", "url").orderBy(order)) > 1)
+    d = calls.withColumn("__new", (~again).cast("int"))
+    page = F.col("kind").isin("render", "interact")
+    d = d.withColumns({"__calls": F.sum("__new").over(w), "__pages": F.sum(page.cast("int")).over(w)})
+    answer = F.when(F.col("__new") == 0, "cached").when((F.col("__calls") > requests) | (page & (F.col("__pages") > renders)), "spent").when(F.octet_length("body") > most_bytes, "cut").otherwise("new")
+    return d.withColumn("answer", answer).drop("__new", "__calls", "__pages")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import periods, prompts, texts, urls
-from gleaner.operators import admission, frontier, judging, links, probing, ranking, recipes, series, stores, traces
+from gleaner.operators import admission, evaluation, frontier, judging, links, probing, ranking, recipes, series, stores, traces
 from gleaner.plans import goals, programs
 from gleaner.session import ship
 from gleaner.sources import backends, html, runs, structured
@@ -746,3 +746,34 @@ def sk3_framed_events(spark):
 @golden("n int, window string", [(0, "see a.pdf now an"), (1, "ow and b.pdf")])
 def sc28_grep(spark):
     return html.grep(spark.createDataFrame([(1, "see a.pdf  now and b.pdf"), (2, None)], "page_id bigint, html string"), r"\.pdf", around=8).orderBy("n")
+
+
+cases("u4_kept_facets", lambda u: urls.paging_identity(u, F.array(F.struct(F.lit("doc_types[]").alias("k"), F.lit("111").alias("v")))), [(f"{_L}&doc_types[0]=111&start=20", "/en?doc_types%5B%5D=111"), (f"{_L}&doc_types%5B%5D=111&start=40", "/en?doc_types%5B%5D=111"), (f"{_L}&start=20", "/en"), (f"{_L}&doc_types[0]=112&start=20", "/en")])
+cases("t34_on_cloudflare", texts.on_cloudflare, [("Cloudflare", None, True), ("nginx", "8a-BUD", True), ("nginx", "", False), (None, None, False)], out="boolean")
+cases("sc29_network_mode", texts.network_mode, [("wss://x", None, "http://p", "remote browser, proxy"), (None, "1", None, "stealth browser, direct"), ("", "", "", "local browser, direct")])
+
+
+@golden("id int, answer string", [(1, "new"), (2, "cached"), (3, "new"), (4, "new"), (5, "spent"), (6, "cut"), (7, "spent"), (8, "cached")])
+def sc26_fetch_budget(spark):
+    rows = [(1, "fetch", "a", "x"), (2, "fetch", "a", "x"), (3, "post", "a", "x"), (4, "render", "a", "x"), (5, "render", "b", "x"), (6, "fetch", "c", "long body"), (7, "fetch", "d", "x"), (8, "fetch", "a", "x")]
+    d = spark.createDataFrame([("k", *r) for r in rows], "program string, id int, kind string, url string, body string")
+    return traces.within_fetch_budget(d, ["program"], "id", requests=5, renders=1, most_bytes=5)
+
+
+@golden("url string, page_no int", [("a", 5), ("b", 0), ("c", 0), ("d", 0)])
+def j8_candidate_pages(spark):
+    found = spark.createDataFrame([("a", "p1", "page"), ("b", "p1", "sitemap"), ("c", "p1", "api"), ("d", "unknown", "page")], "url string, source_page string, source string")
+    return evaluation.candidate_pages(found, spark.createDataFrame([("p1", 7), ("p1", 5)], "source_page string, page_no int"))
+
+
+@golden("pairs bigint, shift double, noise double", [(2, 0.15, 0.1)])
+def m13_repeated_arms(spark):
+    rows = [("off", "u", 0.4), ("on", "u", 0.6), ("again", "u", 0.5), ("off", "v", 0.1), ("on", "v", 0.3), ("again", "v", 0.2), ("on", "w", 0.9)]
+    return evaluation.repeated_shift(spark.createDataFrame(rows, "arm string, url string, score double"), ["url"], "off", "on", "again")
+
+
+@golden("text string", [("PAGE: https://a/\nDEPTH: 1  QUEUE: 3  DOWNLOADS: 1\nFOUND:\n  - R  [from: https://a/p]\nKEY TERMS: report, fee\nMEMORY:\n  k = v\nELEMENTS:\n[link 1] Home",), ("PAGE: https://b/\nDEPTH: 0  QUEUE: 0  DOWNLOADS: 0\nFOUND:\n  (none yet)\nELEMENTS:\n(none)",)])
+def t31_page_state(spark):
+    rows = [("https://a/", 1, 3, [("R", "https://a/p")], ["report", "fee"], {"k": "v"}, "[link 1] Home"), ("https://b/", 0, 0, [], [], {}, None)]
+    d = spark.createDataFrame(rows, "url string, depth int, queued int, downloads array<struct<name string, source_page string>>, terms array<string>, memory map<string,string>, elements string")
+    return d.select(prompts.page_state(*map(F.col, d.columns)).alias("text"))

@@ -311,9 +311,8 @@ FROM {_EXPECTED} e LEFT JOIN f ON f.site = e.site AND f.ident = e.ident GROUP BY
 def a9_recall_at(spark, folder):
     d = _idents(spark, folder)
     pages = table(spark, folder, "pages").select("site", "url", "page_id")
-    numbers = ranking.numbered(pages, ["site"], [F.col("page_id")], "page_no").groupBy(F.col("url").alias("source_page")).agg(F.min("page_no").alias("__no"))
-    found = d.where("verdict = 'accepted'").join(numbers, "source_page", "left")
-    found = found.withColumn("page_no", F.when(F.col("source").isin("sitemap", "api"), 0).otherwise(F.coalesce("__no", F.lit(0))))
+    numbers = ranking.numbered(pages, ["site"], [F.col("page_id")], "page_no").select(F.col("url").alias("source_page"), "page_no")
+    found = evaluation.candidate_pages(d.where("verdict = 'accepted'"), numbers)
     return evaluation.recall_at(found, d.where("source in ('page', 'api')"), ["site"])
 
 

@@ -67,6 +67,22 @@ def to_store(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpo
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(merge).start()
 
 
+def upsert_batches(folder: str, keys: list[str], schema: str) -> Callable[[DataFrame, int], None]:
+    """What feeds micro-batches into a store: rows replace those with their keys, and a batch that comes again after a failure
+    is known by its id and left out, as the id is written with the rows in one step."""
+    from gleaner.operators.stores import upsert
+    from gleaner.sources.sinks import read_store, write_store
+
+    def feed(batch: DataFrame, number: int) -> None:
+        held = read_store(batch.sparkSession, folder, f"{schema}, __batch long")
+        if held.where(F.col("__batch") >= number).limit(1).count():
+            return
+        marked = upsert(held.drop("__batch"), batch, keys).withColumn("__batch", F.lit(number).cast("long"))
+        write_store(marked, folder)
+
+    return feed
+
+
 def server_events(events: DataFrame) -> DataFrame:
     """Events as server-sent text, in order; element dumps are not sent."""
     return events.where("type <> 'page_elements'").select(F.concat(F.lit("event: "), "type", F.lit("\ndata: "), F.to_json(F.struct("*")), F.lit("\n\n")).alias("text"))

@@ -35,6 +35,15 @@ def test_discover(spark):
     assert discover(pages(spark).limit(0), terms).count() == 0
 
 
+def test_discover_with_sitemap_and_goal(spark):
+    entries = spark.createDataFrame([("c", "https://s/f/report-2024-03.pdf", "2024-05-06"), ("c", "https://s/f/report-2021.pdf", None), ("d", "https://s/page", None)], "crawl_id string, url string, lastmod string")
+    docs = {r["url"]: r for r in discover(pages(spark), F.array(F.lit("report")), sitemap=entries).collect()}
+    assert (docs["https://s/f/report-2024-03.pdf"]["source"], docs["https://s/f/report-2024-03.pdf"]["published"]) == ("sitemap", "2024-05-06")
+    assert docs["https://s/f/report-2024-02.pdf"]["source"] == "page" and "https://s/f/report-2021.pdf" in docs
+    got = Engine(spark).discover_goal("Find the reports of 2024", 'x {"key_terms": ["report"]}', pages(spark), entries)
+    assert sorted(r["url"] for r in got.collect()) == ["https://s/f/report-2024-02.pdf", "https://s/f/report-2024-03.pdf"]
+
+
 def test_sinks(spark, tmp_path):
     docs = discover(pages(spark), F.array(F.lit("report")))
     sinks.write_csv(docs, str(tmp_path / "csv"))

@@ -84,3 +84,14 @@ def test_a_page_that_opens_groups_is_credited():
     q.add_seed("start")
     q.add("start", "news", 0.1)
     assert q.pop()[0] == "start"
+
+
+def test_batches_are_upserted_once(spark, tmp_path):
+    from gleaner.sources.sinks import read_store
+
+    feed = ev.upsert_batches(str(tmp_path / "store"), ["k"], "k string, v long")
+    batch = lambda *rows: spark.createDataFrame(list(rows), "k string, v long")
+    feed(batch(("a", 1), ("b", 1)), 0)
+    feed(batch(("a", 2)), 1)
+    feed(batch(("a", 9)), 1)  # the same batch after a failure
+    assert {r["k"]: r["v"] for r in read_store(spark, str(tmp_path / "store")).collect()} == {"a": 2, "b": 1}
