@@ -279,7 +279,7 @@ def fitted(pages: DataFrame, known: list[tuple[list[Block], frozenset[int]]] | N
 
     ``known``: the sampled pages where the caller has them already; the first :data:`SAMPLE` train the model.
     """
-    files = tuple(sorted(pages.inputFiles()))
+    files = tuple(sorted(f for f in pages.inputFiles() if "/gleaner-" not in f))  # not the tables written on the way
     key = (pages.sparkSession.sparkContext.applicationId, files)
     if not files or key not in _MODELS:
         _MODELS[key] = fit((sampled(pages) if known is None else known)[:SAMPLE])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleaner.llm import contexts
 from gleaner.llm.boilerplate import fitted, main_bodies, repeated_blocks, sampled, with_repeated
@@ -48,7 +49,9 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_votes(spark: SparkSession, folder: str) -> DataFrame:
-    return vote_records(keyed(table(spark, folder, "candidates")), table(spark, folder, "domain_patterns"))
+    candidates = table(spark, folder, "candidates")
+    newest = candidates.where("url is not null").agg(F.max("found_at"))
+    return vote_records(keyed(candidates), table(spark, folder, "domain_patterns"), newest=newest)
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:

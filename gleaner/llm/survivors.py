@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.canonical import with_link_key
 from gleaner.operators.timestamps import read_stamps
+from gleaner.session import written
 
 #: Fixed value: sources by trust, the most trusted first.
 TRUST = ("page", "api", "sitemap", "program", "agent")
@@ -71,7 +72,9 @@ def elect(rows: DataFrame, ballot: Callable[[DataFrame], DataFrame], combine: Ca
     are combined, the highest wins, and ties go to the value with the smallest id.  The winner's id is the smallest that
     gave it the strongest single vote.
     """
-    hot = hot_keys(rows.select(*KEY), least)
+    hot = written(hot_keys(rows.select(*KEY), least))
+    if hot.isEmpty():
+        return _counted(ballot(rows).repartition(*KEY), combine)
     cold = ballot(rows.join(F.broadcast(hot), KEY, "left_anti"))
     large = ballot(rows.join(F.broadcast(hot), KEY, "left_semi"))
     return _counted(cold.repartition(*KEY), combine).unionByName(_counted(large, combine))
@@ -117,15 +120,16 @@ def best_fields(rows: DataFrame, patterns: DataFrame, least: int = HOT) -> DataF
     return out.select("first_cand_id", "x.field", "x.cand_id").where("cand_id is not null")
 
 
-def vote_records(rows: DataFrame, patterns: DataFrame, half_life_days: float = HALF_LIFE_DAYS, least: int = HOT) -> DataFrame:
+def vote_records(rows: DataFrame, patterns: DataFrame, half_life_days: float = HALF_LIFE_DAYS, least: int = HOT, newest: DataFrame | None = None) -> DataFrame:
     """One built record per group of two or more (``rows`` with :func:`keyed`): (first_cand_id, copies, name, context, dated, source).
 
     Each value gets the sum of trust times recency decay over the rows that
     agree on it (names and contexts apart from case and punctuation, dates by
     their reading); the winning value is written as its strongest voter has it.
-    Decay is counted back from the newest row of all, so a rerun gives the same.
+    Decay is counted back from the newest row of all, so a rerun gives the same; ``newest`` is one row with that time where
+    the caller has it without the keys.
     """
-    newest = rows.agg(F.max("found_at").alias("__now"))
+    newest = (rows.agg(F.max("found_at")) if newest is None else newest).toDF("__now")
 
     def ballot(some: DataFrame) -> DataFrame:
         d = read_stamps(some, "dated", patterns).crossJoin(F.broadcast(newest))  # one row

@@ -72,7 +72,8 @@ def test_no_pages(site, rows):
 
 def test_other_words_than_those_trained_on():
     """A banner, a teaser and a footer in words that no training page and no list has."""
-    known = [(pages.blocks(page(i, content(i), SIDE if i % 3 else "")), frozenset()) for i in range(60)]
+    more = "<p>It was filed in the spring.</p>"
+    known = [(pages.blocks(page(i, (more if i % 2 else "") + content(i) + (more if i % 4 < 2 else ""), SIDE if i % 3 else "")), frozenset()) for i in range(60)]
     model = boilerplate.fit(known)
     side = '<h5>Popular posts</h5><li><a href="https://t/posts/spring.html">How the spring went</a></li><p>The gardeners counted their tulips in the rain.</p>'
     text = (
@@ -155,7 +156,7 @@ def test_residue_of_bodies():
     no = ["The board met in the spring and left the fee as it was.", "Visitors met the text access denied in the year 2019 and asked why the portal of the issuer said so again.", "Report 2020"]
     assert all(residue.is_residue(b(t)) for t in yes) and not any(residue.is_residue(b(t)) for t in no)
     assert not residue.is_residue([]) and not residue.is_residue(b(yes[0], no[0] * 2))
-    short = b("Request held for a moment of check by our guard")
+    short = b("Request held for a moment of check")
     assert residue.is_residue(short, challenged=True) and not residue.is_residue(short)
 
 
