@@ -33,7 +33,7 @@ WIDTH, ROWS, AROUND = 160, 3, (-3, -2, -1, 0, 1, 2, 3)
 SAMPLE = 1500
 #: A word is known from so many training places on.
 OFTEN = 3
-STEPS, RATE = 70, 0.4
+STEPS, RATE, DECAY = 90, 0.25, 2e-5
 _STEPS = ("›", "»", ">", "/", "|", "·")
 _TRIM = re.compile(r"^\W+|\W+$")
 
@@ -190,7 +190,7 @@ def fit_words(known: list[tuple[list[Block], frozenset[int]]], model: Model) ->
         names = [w if (w := _known(x)) in vocabulary else _shape(x) for x in words]
         at = lambda k, names=names: names[k] if 0 <= k < len(names) else ""
         sequences.append(([["bias", *(f"{d}={at(k + d)}" for d in AROUND)] for k in range(len(names))], labels))
-    return WordField(Field.train(sequences, steps=STEPS, rate=RATE), vocabulary)
+    return WordField(Field.train(sequences, steps=STEPS, rate=RATE, decay=DECAY), vocabulary)
 
 
 def framed_contexts(candidates: DataFrame, words: WordField, key: str = "cand_id", context: str = "context") -> DataFrame:

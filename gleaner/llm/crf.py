@@ -6,7 +6,7 @@ import json
 
 import numpy as np
 
-STEPS, RATE, DECAY = 90, 0.3, 2e-5
+STEPS, RATE, DECAY = 90, 0.15, 1e-4
 
 
 def posteriors(x: np.ndarray, moves: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
