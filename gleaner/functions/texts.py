@@ -67,6 +67,7 @@ def years(c: Column) -> Column:
 def goal_years(goal: Column) -> Column:
     """The years of a goal, its ranges written out."""
     g = F.coalesce(goal, F.lit(""))
+    # Fixed value: how a range of years is written.
     span = r"(?iu)(?<!\d)(?:19[89]\d|20\d\d)\s*(?:-|–|to|until|through|bis|a|al|à|au|és|y)\s*(?:19[89]\d|20\d\d)(?!\d)"
     ends = F.transform(F.regexp_extract_all(g, F.lit(span), 0), lambda s: F.struct(F.substring(s, 1, 4).cast("int").alias("a"), F.substring(s, -4, 4).cast("int").alias("b")))
     good = F.filter(ends, lambda e: (e["b"] - e["a"] > 0) & (e["b"] - e["a"] <= 30))

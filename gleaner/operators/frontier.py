@@ -86,7 +86,7 @@ class Queue:
         groups = self.heaps[outer]
         for g in list(groups):
             heap = groups[g]
-            while heap and (heap[0][1] not in self.live or self.live[heap[0][1]][2] is not heap[0] and self.live[heap[0][1]][2] != heap[0]):
+            while heap and self.live.get(heap[0][1], (None, None, None))[2] != heap[0]:
                 heapq.heappop(heap)
             if not heap:
                 del groups[g]

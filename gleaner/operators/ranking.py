@@ -152,11 +152,15 @@ def batches(rows: DataFrame, scope: list[str], order: str, size: int = 20) -> Da
     return rows.withColumn("batch", F.floor(n / size).cast("int"))
 
 
-def escalation_trigger(typed_form: Column, has_filter: Column, kind: Column, docs: Column, new_pages: Column, accepted: Column, hidden: Column, crawl_accepted: Column) -> Column:
+def escalation_trigger(typed_form: Column, has_filter: Column, kind: Column, docs: Column, new_pages: Column, accepted: Column, hidden: Column, crawl_accepted: Column, canvas: Column | None = None) -> Column:
+    """Why a page is worth an agent's look, or null: a canvas, a form to type in while nothing is found, a listing behind a
+    filter, an empty page of a kind that lists documents."""
     listing = (kind == "document_listing") & has_filter
     nothing = docs == 0
+    drawn = F.lit(False) if canvas is None else F.coalesce(canvas, F.lit(False))
     return (
-        F.when(typed_form & nothing & (crawl_accepted == 0), "typed_form")
+        F.when(drawn, "canvas")
+        .when(typed_form & nothing & (crawl_accepted == 0), "typed_form")
         .when(~listing & ~(nothing & (new_pages < 5)) & (accepted > 0), None)
         .when(listing & (hidden >= 0.7) & (docs <= 5), "filtered_listing")
         .when(nothing & (hidden >= 0.9) & kind.isin("document_listing", "fund_or_product") & (crawl_accepted == 0), "empty_page")

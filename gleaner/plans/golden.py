@@ -114,6 +114,7 @@ cases("fp10_is_planned", lambda u: urls.is_planned(u, F.array(F.lit("/produkte/h
 cases("fp13_fetcher_check", lambda u, s, a: admission.fetch_allowed(u, F.array(F.lit("fund.example"), F.lit("api.data.example")), s, a), [("https://www.fund.example/x", True, True, True), ("https://api.data.example/x", True, True, True), ("https://other.example/x", True, True, False), ("https://fund.example/x", False, True, False), ("https://fund.example/x", True, False, False)], "string; boolean; boolean", "boolean")
 cases("fp15_navigation_guards", lambda u, v, s: admission.navigation_guard(u, v, s, F.lit(True)), [("https://a/x", False, True, None), ("https://a/x", True, True, "visited"), ("https://b/x", False, False, "off_domain"), ("https://a/x.zip", False, True, "binary"), ("", False, True, "no_url")], "string; boolean; boolean")
 cases("fp17_escalation_trigger", lambda t, f, k, d, n, a, h, c: ranking.escalation_trigger(t, f, k, d, n, a, h, c), [(True, False, "other", 0, 9, 0, 0.1, 0, "typed_form"), (True, False, "other", 0, 9, 0, None, 3, None), (False, True, "document_listing", 4, 9, 2, 0.7, 2, "filtered_listing"), (False, True, "document_listing", 6, 9, 2, 0.9, 2, None), (False, False, "fund_or_product", 0, 9, 0, 0.9, 0, "empty_page"), (False, False, "news_or_article", 0, 2, 0, 0.95, 0, None), (False, False, "document_listing", 3, 9, 3, 0.99, 3, None)], "boolean; boolean; string; int; int; int; double; int")
+cases("fp17_canvas_first", lambda c: ranking.escalation_trigger(F.lit(True), F.lit(False), F.lit("other"), F.lit(0), F.lit(9), F.lit(0), F.lit(0.1), F.lit(0), c), [(True, "canvas"), (False, "typed_form"), (None, "typed_form")], "boolean")
 cases("fp18_escalation_skip", lambda n, s: ranking.escalation_skip(n, F.lit(100), s, F.lit(50)), [(10, 0, None), (71, 0, "time"), (10, 50, "tokens"), (80, 60, "time")], "int; int")
 cases("fp20_resource_blocking", lambda k, h: admission.blocked_resource(k, h, F.array(F.lit("a.example"))), [("font", "a.example", True), ("script", "a.example", False), ("script", "t.example", True), ("document", "t.example", False)], out="boolean")
 cases("fp21_behind_own_form", lambda u: admission.behind_own_form(u, F.array(urls.listing_facets(F.lit(_FILTERED)))), [("https://site-lv.example/en/?SEARCH=Search&doc_types[0]=111&start=20", True), (f"{_L}&doc_types[0]=111", False), ("https://site-lv.example/en/", False)], out="boolean")
