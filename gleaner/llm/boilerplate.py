@@ -274,14 +274,19 @@ def fit(known: list[tuple[list[Block], frozenset[int]]]) -> Model:
 _MODELS: OrderedDict[tuple, Model] = OrderedDict()
 
 
+def model_key(pages: DataFrame) -> tuple[str, tuple[str, ...]]:
+    """What a model of ``pages`` is kept under: the session and the files they are read from."""
+    files = tuple(sorted(f for f in pages.inputFiles() if "/gleaner-" not in f))  # not the tables written on the way
+    return pages.sparkSession.sparkContext.applicationId, files
+
+
 def fitted(pages: DataFrame, known: list[tuple[list[Block], frozenset[int]]] | None = None) -> Model:
     """A model of ``pages`` (with ``common``), fitted once for the files they are read from and kept by the driver.
 
     ``known``: the sampled pages where the caller has them already; the first :data:`SAMPLE` train the model.
     """
-    files = tuple(sorted(f for f in pages.inputFiles() if "/gleaner-" not in f))  # not the tables written on the way
-    key = (pages.sparkSession.sparkContext.applicationId, files)
-    if not files or key not in _MODELS:
+    key = model_key(pages)
+    if not key[1] or key not in _MODELS:
         _MODELS[key] = fit((sampled(pages) if known is None else known)[:SAMPLE])
         while len(_MODELS) > 4:
             _MODELS.popitem(last=False)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import contexts
-from gleaner.llm.boilerplate import fitted, main_bodies, repeated_blocks, sampled, with_repeated
+from gleaner.llm.boilerplate import fitted, main_bodies, repeated_blocks, with_repeated
 from gleaner.llm.canonical import link_copies, link_records
 from gleaner.llm.leakage import find_leaks, leak_matches, remove_leaks
 from gleaner.llm.residue import is_residue, residue_pages, with_challenged
@@ -25,10 +25,9 @@ def _pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     pages = _pages(spark, folder)
-    known = sampled(pages, contexts.SAMPLE)
-    model = fitted(pages, known)
+    model, words = contexts.fitted_both(pages)
     bodies = main_bodies(pages, model, is_residue)
-    return bodies.unionByName(contexts.framed_contexts(table(spark, folder, "candidates"), contexts.fit_words(known, model)))
+    return bodies.unionByName(contexts.framed_contexts(table(spark, folder, "candidates"), words))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

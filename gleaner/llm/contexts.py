@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.boilerplate import Model, block_hash
+from gleaner.llm.boilerplate import Model, block_hash, fitted, model_key, sampled
 from gleaner.llm.crf import Field
 from gleaner.llm.pages import Block
 
@@ -193,6 +194,20 @@ def fit_words(known: list[tuple[list[Block], frozenset[int]]], model: Model) ->
     return WordField(Field.train(sequences, steps=STEPS, rate=RATE, decay=DECAY), vocabulary)
 
 
+_WORDS: OrderedDict[tuple, WordField] = OrderedDict()
+
+
+def fitted_both(pages: DataFrame) -> tuple[Model, WordField]:
+    """The block and word fields of ``pages`` (with ``common``), fitted once for the files they are read from and kept by the driver."""
+    key = model_key(pages)
+    if not key[1] or key not in _WORDS:
+        known = sampled(pages, SAMPLE)
+        _WORDS[key] = fit_words(known, fitted(pages, known))
+        while len(_WORDS) > 4:
+            _WORDS.popitem(last=False)
+    return fitted(pages), _WORDS[key]
+
+
 def framed_contexts(candidates: DataFrame, words: WordField, key: str = "cand_id", context: str = "context") -> DataFrame:
     """(kind, id, block_md5): the rows whose text holds text of a page's frame."""
 
