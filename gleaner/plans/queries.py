@@ -50,13 +50,17 @@ _HOST = rf"lower(regexp_replace(regexp_replace({_NET}, '^.*@', ''), ':\d*$', '')
 _DOMAIN = rf"regexp_replace({_HOST}, '^www\.', '')"
 _STABLE = f"array_to_string(list_sort([x for x in string_split({_QUERY}, '&') if x <> '' AND NOT regexp_matches(split_part(x, '=', 1), '{urls.PAGING}') AND NOT regexp_matches(split_part(x, '=', 1), '{urls.FACET}')]), '&')"
 _CANON_Q = f"array_to_string([x for x in string_split({_QUERY}, '&') if x <> '' AND NOT (regexp_matches(split_part(x, '=', 1), '(?i)^(start|offset|page|pagina|seite|oldal|cur|limitstart)$') AND split_part(x, '=', 2) IN ('0', '1'))], '&')"
+_WEAK = r"len([x for x in string_split_regex(coalesce(name, ''), '[\s\p{Z}\x{85}\x{1c}-\x{1f}\x{0b}]+') if x <> '']) < 4 AND NOT regexp_matches(coalesce(name, ''), '\p{Nd}')"
+_DECODED = f"[{{'k': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'v': CASE WHEN contains(x, '=') THEN url_decode(replace(x[strpos(x, '=') + 1:], '+', ' ')) ELSE '' END}} for x in string_split({_QUERY}, '&') if x <> '']"
+_KEPT = f"[p for p in {_DECODED} if NOT (lower(p.k) IN ('start', 'offset', 'page', 'pagina', 'seite', 'oldal', 'cur', 'limitstart') AND p.v IN ('0', '1'))]"
+_CODE = "replace(url_encode({}), '%20', '+')"
 _LANGS = ", ".join(f"'{x}'" for x in urls.LANGUAGES)
 _FIRST = f"lower(split_part(regexp_replace({_PATH}, '^/+', ''), '/', 1))"
 
 # name -> (expression over u, name, context; the same in SQL)
 _SCALARS: dict[str, tuple[Callable[[], Column], str | None]] = {
     "u1_strip_fragment": (lambda: urls.strip_fragment(F.col("u")), "split_part(u, '#', 1)"),
-    "u2_canonical": (lambda: urls.canonical(F.col("u")), None),
+    "u2_canonical": (lambda: urls.canonical(F.col("u")), f"lower(regexp_replace(split_part(split_part(u, '#', 1), '?', 1) || CASE WHEN len({_KEPT}) > 0 THEN '?' || array_to_string([{_CODE.format('p.k')} || '=' || {_CODE.format('p.v')} for p in {_KEPT}], '&') ELSE '' END, '/+$', ''))"),
     "u3_first_page": (lambda: urls.is_first_page(F.col("u")), f"len([x for x in string_split({_QUERY}, '&') if regexp_matches(split_part(x, '=', 1), '(?i)^(start|offset|page|pagina|seite|oldal|cur|limitstart)$') AND split_part(x, '=', 2) IN ('0', '1')]) > 0"),
     "u4_paging_identity": (lambda: urls.paging_identity(F.col("u")), f"lower(regexp_replace({_PATH}, '/+$', '')) || CASE WHEN {_STABLE} <> '' THEN '?' || {_STABLE} ELSE '' END"),
     "u7_document_split": (lambda: urls.is_document(F.col("u")), f"regexp_matches(lower({_PATH}), '{urls.DOCUMENT}')"),
@@ -73,8 +77,8 @@ _SCALARS: dict[str, tuple[Callable[[], Column], str | None]] = {
     "u22_search_key": (lambda: urls.search_key(F.col("u")), f"lower({_SCHEME}) || '://' || {_DOMAIN} || {_PATH}"),
     "u23_pattern_domain": (lambda: urls.pattern_domain(F.col("site")), r"CASE WHEN regexp_matches(regexp_replace(lower(trim(site)), '^www\.', ''), '^[a-zA-Z0-9.-]+$') AND NOT contains(site, '..') THEN regexp_replace(lower(trim(site)), '^www\.', '') END"),
     "u24_recipe_key": (lambda: urls.recipe_key(urls.host(F.col("u")), urls.path(F.col("u"))), f"substr(regexp_replace(regexp_replace(lower({_HOST} || {_PATH}), '[^a-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 150)"),
-    "u16_normalize": (lambda: urls.normalize(F.col("u")), None),
-    "u18_as_url": (lambda: urls.as_url(F.col("u")), None),
+    "u16_normalize": (lambda: urls.normalize(F.col("u")), f"lower({_SCHEME}) || '://' || {_HOST} || CASE WHEN regexp_matches({_NET}, ':[0-9]+$') THEN ':' || regexp_extract({_NET}, ':([0-9]+)$', 1) ELSE '' END || coalesce(nullif(regexp_replace(url_decode({_PATH}), '/+$', ''), ''), '/')"),
+    "u18_as_url": (lambda: urls.as_url(F.col("u")), r"array_to_string([CASE WHEN regexp_matches(c, '[^A-Za-z0-9!$&''()*+,/:;=?#@\[\]%._~-]') THEN url_encode(c) ELSE c END for c in string_split(trim(u), '')], '')"),
     "fp7_sitemap_page": (lambda: urls.sitemap_page(F.col("u")), f"NOT regexp_matches(lower({_PATH}), '{urls.DOCUMENT}') AND NOT regexp_matches(lower(split_part(u, '?', 1)), '{urls.BINARY}') AND NOT regexp_matches(lower({_PATH}), '{urls.SITEMAP_SKIP}')"),
     "t20_looks_like_path": (lambda: urls.looks_like_path(urls.path(F.col("u"))), f"length({_PATH}) BETWEEN 8 AND 2000 AND NOT contains(substr({_PATH}, 1, 8), ' ') AND NOT regexp_matches({_PATH}, '(?i)\\.(jpe?g|png|gif|svg|webp|ico|css|js|json|xml|html?|woff2?|ttf|mp4|mp3)(\\?|$)') AND starts_with({_PATH}, '/')"),
     "t22_url_score": (
@@ -83,11 +87,15 @@ _SCALARS: dict[str, tuple[Callable[[], Column], str | None]] = {
     ),
     "t7_clean_text": (lambda: texts.clean(F.col("context")), r"regexp_replace(context, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g')"),
     "t8_injection_flag": (lambda: texts.is_instruction(F.col("context")), f"regexp_matches(coalesce(context, ''), '{texts.INJECTION}')"),
-    "t9_weakly_named": (lambda: texts.is_weakly_named(F.col("name")), r"len([x for x in string_split_regex(coalesce(name, ''), '[\s\p{Z}\x{85}\x{1c}-\x{1f}\x{0b}]+') if x <> '']) < 4 AND NOT regexp_matches(coalesce(name, ''), '\p{Nd}')"),
+    "t9_weakly_named": (lambda: texts.is_weakly_named(F.col("name")), _WEAK),
     "t17_verdict": (lambda: texts.verdict(F.col("relevance")), "CASE WHEN relevance IS NULL THEN 'unscored' WHEN relevance >= 0.75 THEN 'accepted' WHEN relevance < 0.4 THEN 'rejected' ELSE 'unsure' END"),
     "t2_date": (lambda: periods.date_of(F.concat_ws(" ", "dated", "context")), None),
-    "t5_names_goal_year": (lambda: texts.names_goal_year(F.col("name"), F.col("u"), texts.goal_years(F.lit("reports 2020 to 2023"))), None),
-    "t10_link_state": (lambda: texts.link_state(F.col("cand_id").cast("string"), F.col("name"), F.col("u"), F.col("context"), F.col("section"), F.col("col_label")), None),
+    "t5_names_goal_year": (lambda: texts.names_goal_year(F.col("name"), F.col("u"), texts.goal_years(F.lit("reports 2020 to 2023"))), "len(list_intersect(regexp_split_to_array(concat_ws(' ', name, u), '[^0-9]+'), ['2020', '2021', '2022', '2023'])) > 0"),
+    "t10_link_state": (
+        lambda: texts.link_state(F.col("cand_id").cast("string"), F.col("name"), F.col("u"), F.col("context"), F.col("section"), F.col("col_label")),
+        f"""'{{"id":"' || cand_id || '","text":' || to_json(coalesce(nullif(left(coalesce(name, ''), 200), ''), '(no link text)')) || ',"url":' || to_json(u) || CASE WHEN context <> '' AND {_WEAK} THEN ',"surrounding_text":' || to_json(left(context, 200)) ELSE '' END
+  || CASE WHEN left(section, 160) <> '' THEN ',"section_heading":' || to_json(left(section, 160)) ELSE '' END || CASE WHEN left(col_label, 80) <> '' THEN ',"column_header":' || to_json(left(col_label, 80)) ELSE '' END || '}}'""",
+    ),
 }
 # Those that take no url: they have a value for candidates without one, too.
 _NO_URL = {"t2_date", "t7_clean_text", "t8_injection_flag", "t9_weakly_named", "t17_verdict", "u21_start_url", "u23_pattern_domain"}
@@ -135,7 +143,7 @@ def t16_skeleton(spark, folder):
     return _named(spark, folder).select("cand_id", F.col("skeleton").alias("value"))
 
 
-@query()
+@query("SELECT domain, list_sort(list_distinct([x for x in regexp_split_to_array(coalesce(last_goal, ''), '[^0-9]+') if length(x) = 4 AND x BETWEEN '1980' AND '2099'])) AS years FROM domain_patterns")
 def t4_goal_years(spark, folder):
     return table(spark, folder, "domain_patterns").select("domain", texts.goal_years(F.col("last_goal")).alias("years"))
 
